@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
@@ -63,3 +65,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package shipped to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def map_pandas(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInPandas`` with this package shipped to the workers."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .mixing import op8_pivotal_mix
 from .sharding import op6_prefix_sum_shards
+from .simhash import op9_simhash_near_dedup
 
 QUERIES = {
+    "op8_pivotal_mix": op8_pivotal_mix,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_exact_dedup": op10_exact_dedup,
     "op6_prefix_sum_shards": op6_prefix_sum_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_dedup": OP10_SQL,
+}
