@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import op8_pivotal_mix
+from .quality import op4_quality_divergence
 from .sharding import op6_prefix_sum_shards
 from .simhash import op9_simhash_near_dedup
 
 QUERIES = {
+    "op4_quality_divergence": op4_quality_divergence,
     "op8_pivotal_mix": op8_pivotal_mix,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
