@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import op8_pivotal_mix
+from .packing import op5_best_fit_packing
 from .quality import op4_quality_divergence
 from .sharding import op6_prefix_sum_shards
 from .simhash import op9_simhash_near_dedup
+from .token_files import op1_rans_token_files
 
 QUERIES = {
+    "op1_rans_token_files": op1_rans_token_files,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op4_quality_divergence": op4_quality_divergence,
     "op8_pivotal_mix": op8_pivotal_mix,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
