@@ -9,10 +9,12 @@ from .quality import op4_quality_divergence
 from .sharding import op6_prefix_sum_shards
 from .simhash import op9_simhash_near_dedup
 from .token_files import op1_rans_token_files
+from .warc import OP3_SQL, op3_warc_dictionary
 
 QUERIES = {
     "op1_rans_token_files": op1_rans_token_files,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op3_warc_dictionary": op3_warc_dictionary,
     "op4_quality_divergence": op4_quality_divergence,
     "op8_pivotal_mix": op8_pivotal_mix,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_dictionary": OP3_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

@@ -120,7 +120,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
             ids = np.concatenate(parts)
             data = encode_file(docs, np.concatenate(counts), ids)
             name = f"ids-{context.partitionId():06d}-{number:05d}-{context.taskAttemptId()}.qtok"
-            with fs.open_output_stream(f"{base}/{name}") as f:
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(data)
             row = pa.RecordBatch.from_pylist(
                 [{"task": context.partitionId(), "number": number, "path": f"{folder}/{name}", "n_docs": len(docs), "n_ids": len(ids), "n_bytes": len(data)}],
