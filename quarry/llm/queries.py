@@ -6,6 +6,7 @@ from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .mixing import op8_pivotal_mix
 from .packing import op5_best_fit_packing
 from .quality import op4_quality_divergence
+from .secret_scan import op7_token_efficiency_secrets
 from .sharding import op6_prefix_sum_shards
 from .simhash import op9_simhash_near_dedup
 from .token_files import op1_rans_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op3_warc_dictionary": op3_warc_dictionary,
     "op4_quality_divergence": op4_quality_divergence,
+    "op7_token_efficiency_secrets": op7_token_efficiency_secrets,
     "op8_pivotal_mix": op8_pivotal_mix,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
