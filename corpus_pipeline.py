@@ -1,15 +1,74 @@
-"""Corpus preparation, stage by stage."""
+"""Corpus preparation, stage by stage: quality rules, exact dedup, near-dedup, mixing to target weights, packing.
+
+Each stage takes the documents that the one before it kept and decides about all of them.  ``doc_id`` is the documents'
+key; where it repeats all the same, rows that share one share the decisions (kept if any is kept, the largest number of
+copies), and exact dedup still leaves one of rows that agree in id and text.  All columns of the documents, additional
+ones too, go through to the last stage, which returns packed pieces instead.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import common
+from quarry.llm.exact_dedup import exact_duplicates
+from quarry.llm.mixing import mix
+from quarry.llm.packing import pack
+from quarry.llm.quality import quality
+from quarry.llm.simhash import near_duplicates
+
+KEY = "__pipeline_doc_id"
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids`` (null equals null)."""
+    ids = ids.select(F.col("doc_id").alias(KEY)).distinct()
+    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids[KEY]), "left_semi")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and diverge little from their language."""
+    return _keep(docs, quality(docs).where("kept"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    found = common.materialize(exact_duplicates(docs).where("kept").select("doc_id", "text_sha256"), "pipeline-exact")
+    kept = _keep(docs, found)
+    repeated = docs.groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return _keep(docs, near_duplicates(docs).where("doc_id <=> component_id"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    copies = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias(KEY)).agg(F.max("copies").alias("__pipeline_copies"))
+    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies[KEY])).drop(KEY)
+    # a row for each copy, at most three
+    return joined.withColumn("__pipeline_copies", F.explode(F.sequence(F.lit(1), F.col("__pipeline_copies").cast("int")))).drop("__pipeline_copies")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens, packed into sequences."""
+    return pack(docs)
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
+#: Mixing draws at random and packing tokenizes: SQL can't express either.
 ORACLE_SQL: str | None = None
 
 
