@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 WHITE = r"[ \t\n\x0B\f\r]"
 
@@ -84,7 +85,7 @@ def cache_key(text: Column | str, provider: Column, model: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lower(F.regexp_replace(_column(text), r"^\s+|\s+$", "")), provider, model), 256)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t) if t is not None else None)
 

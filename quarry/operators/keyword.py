@@ -22,7 +22,8 @@ def postings(chunks: DataFrame, key: str, text: str = "text") -> DataFrame:
 def _term_counts(chunks: DataFrame, key: str, terms: list[str], text: str) -> DataFrame:
     """Counts of the sought terms only, in one pass: nothing else of a text is exploded or shuffled."""
     found = chunks.select(key, T.search_terms(text).alias("terms"))
-    return found.select(key, F.size("terms").cast("long").alias("dl"), *[F.size(F.filter("terms", lambda t, w=w: t == w)).cast("long").alias(f"tf{i}") for i, w in enumerate(terms)])
+    count = lambda w: F.size(F.filter("terms", lambda t: t == w)).cast("long")
+    return found.select(key, F.size("terms").cast("long").alias("dl"), *[count(w).alias(f"tf{i}") for i, w in enumerate(terms)])
 
 
 def bm25_term(tf: Column, dl: Column, avgdl: Column, n_docs: Column, df: Column) -> Column:

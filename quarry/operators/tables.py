@@ -74,7 +74,7 @@ def running_quota(log: DataFrame, day: str, order: list[str], tokens: str, limit
 
 def daily_usage(log: DataFrame, day: str, tokens: str, limit: int) -> DataFrame:
     used = log.groupBy(day).agg(F.sum(tokens).alias("used"))
-    return used.select(day, "used", F.greatest(F.lit(0), F.lit(limit) - F.col("used")).alias("remaining"), F.round(F.col("used") * 100.0 / limit, 2).alias("percent"))
+    return used.select(day, "used", F.greatest(F.lit(0), F.lit(limit) - F.col("used")).alias("remaining"), F.round(F.col("used") * 100.0 / limit, 4).alias("percent"))
 
 
 def evict(cache: DataFrame, created: str, before: Column) -> DataFrame:
