@@ -2,20 +2,40 @@
 
 For a vocabulary that drops white space and never joins across it, a text's ids are those of its words in order.
 ``WordEncoder`` therefore keeps the ids of the words it has met (up to a limit, then it starts anew) and has the
-library encode the others.  It needs a tokenizer that lower-cases, such as ``word_bpe_49k.json``; ``supported`` says so.
+library encode the others.  Words whose pieces are plain to see (letters, and ASCII) go to a second instance of the
+same model that only splits at spaces, all in one call; the rest goes through the whole tokenizer.  This needs a tokenizer
+that lower-cases and splits by the pattern below, such as ``word_bpe_49k.json``; ``supported`` says so.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
+from collections import defaultdict
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept in memory by a worker, about 60 MB.
+#: Words kept in memory by a worker, about 100 MB.
 MOST_WORDS = 300_000
+#: The tokenizer's pattern for pieces of words, and the same for lower-case ASCII.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PRINTABLE = re.compile(rb"[!-~]+")
+
+
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)}
+
+
+_CHARACTERS = _byte_characters()
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -27,62 +47,87 @@ def default_path(name: str = VOCABULARY) -> str:
 class WordEncoder:
     def __init__(self, path: str, most_words: int = MOST_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker is one of many on its machine
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.most_words = most_words
-        with open(path, encoding="utf-8") as f:
-            rules = json.load(f)
-        if not supported(rules):
+        if not supported(self.library):
             raise ValueError(f"{path}: words can't be encoded one by one under this tokenizer")
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.model = Tokenizer(self.library.model)  # shares the vocabulary and merges
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        tokens = map(self.library.id_to_token, range(self.library.get_vocab_size(with_added_tokens=True)))
+        self.ends = np.array([t is not None and t.endswith("</w>") for t in tokens])
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 14, np.int64)
-        self.first[0] = 0
-        self.used = 0
-
-    def _add(self, word: bytes, ids: np.ndarray) -> None:
-        n = len(self.place)
-        if n + 2 > len(self.first):
-            self.first = np.concatenate((self.first, np.zeros(len(self.first), np.int64)))
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.place[word] = n
-        self.first[n + 1] = self.used
+        self.place: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.flat = np.empty(0, np.uint32)
+        self.first = np.zeros(1, np.int64)
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _encode_bases(self, bases: list[bytes]) -> dict[bytes, np.ndarray]:
-        """Ids of texts without white space.  Words of letters are one word to the library and can go together."""
-        texts = [b.decode() for b in bases]
-        plain = [i for i, t in enumerate(texts) if t.isalpha() and t.lower().isalpha()]
-        found: dict[bytes, np.ndarray] = {}
-        if plain:
-            ids = self._library(" ".join([texts[i] for i in plain]))
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(plain):
-                found = dict(zip([bases[i] for i in plain], np.split(ids, ends[:-1])))
-        return found | {b: self._library(t) for b, t in zip(bases, texts) if b not in found}
-
-    def _learn(self, words: set[bytes]) -> None:
-        # a full stop or comma after an ASCII letter is a word of its own to the library
-        bases = {w: w[:-1] if len(w) > 1 and w[-1:] in b".," and w[-2:-1].isalpha() and b"<|" not in w else w for w in words}
-        tails = {t: self._library(t.decode()) for t in (b".", b",")}
-        wanted = sorted(set(bases.values()))
-        ids = {}
-        for at in range(0, len(wanted), 20_000):
-            ids |= self._encode_bases(wanted[at : at + 20_000])
-        for word, base in bases.items():
-            self._add(word, ids[base] if base == word else np.concatenate((ids[base], tails[word[-1:]])))
+    @staticmethod
+    def _pieces(word: bytes) -> list[bytes] | None:
+        """The library's pieces of a lower-cased word, None if that takes the library to tell."""
+        if word.isalpha():  # for bytes: ASCII letters
+            return [word]
+        if _PRINTABLE.fullmatch(word):
+            return _ASCII_PIECES.findall(word) if b"<|" not in word else None
+        text = word.decode()
+        if text.isalpha() and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
+            lower = text.lower()
+            return [lower.encode()] if lower.isalpha() else None
+        return None
+
+    def _encode_bases(self, bases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct texts without white space, one after another, and how many each has."""
+        pieces = [self._pieces(b) for b in bases]
+        plain = b" ".join([b" ".join(p) for p in pieces if p is not None])
+        text = plain.decode() if plain.isascii() else " ".join([x.decode("latin-1").translate(_CHARACTERS) for x in plain.split(b" ")])
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) if text else np.empty(0, np.uint32)
+        ends = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        n_pieces = np.array([len(p) if p is not None else 0 for p in pieces], np.int64)
+        if len(ends) != n_pieces.sum() + 1:
+            raise RuntimeError("the vocabulary doesn't mark the ends of words")
+        upto = ends[np.cumsum(n_pieces)]
+        lengths = np.diff(upto, prepend=0)
+        whole = {i: self._library(bases[i].decode()) for i, p in enumerate(pieces) if p is None}
+        if whole:
+            parts, at = [], 0
+            for i, own in whole.items():
+                end = int(upto[i])
+                parts += [ids[at:end], own]
+                lengths[i], at = len(own), end
+            ids = np.concatenate([*parts, ids[at:]])
+        return ids, lengths
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Add the ids of new words, which have the next places already."""
+        known = len(self.first) - 1
+        # a full stop or comma after an ASCII letter is a piece of its own, whatever comes before
+        tailed = [len(w) > 1 and w[-1] in b".," and w[-2:-1].isalpha() and b"<|" not in w for w in words]
+        bases = [w[:-1] if t else w for w, t in zip(words, tailed)]
+        fresh: dict[bytes, int] = {}
+        at = [self.place.get(b, -1) for b in bases]
+        at = [p if 0 <= p < known else known + fresh.setdefault(b, len(fresh)) for p, b in zip(at, bases)]
+        ids, lengths = self._encode_bases(list(fresh)) if fresh else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        pool = np.concatenate((self.flat, ids))
+        starts = np.concatenate((self.first, self.first[-1] + np.cumsum(lengths)))
+        at = np.array(at, np.int64)
+        own = starts[at + 1] - starts[at]
+        tail = np.array(tailed, np.int64)
+        ends = np.cumsum(own + tail)
+        out = np.empty(int(ends[-1]), np.uint32)
+        begins = ends - own - tail
+        inside = np.cumsum(own) - own
+        step = np.arange(int(own.sum())) - np.repeat(inside, own)
+        out[np.repeat(begins, own) + step] = pool[np.repeat(starts[at], own) + step]
+        if tail.any():
+            marks = {t: int(self._library(t.decode())[0]) for t in (b".", b",")}
+            out[ends[tail > 0] - 1] = [marks[w[-1:]] for w, t in zip(words, tailed) if t]
+        self.flat = np.concatenate((self.flat, out))
+        self.first = np.concatenate((self.first, self.first[-1] + ends))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and the number of ids of each text."""
@@ -93,13 +138,13 @@ class WordEncoder:
             found = text.lower().split() if b"<|" not in text else [text]
             words += found
             counts.append(len(found))
-        new = set(words) - self.place.keys()
-        if len(self.place) + len(new) > self.most_words and self.place:
+        if len(self.place) > self.most_words:
             self._clear()
-            new = set(words)
-        if new:
-            self._learn(new)
+        before = len(self.place)
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        new = len(self.place) - before
+        if new:
+            self._learn(list(islice(reversed(self.place), new))[::-1])
         lengths = self.first[at + 1] - self.first[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
@@ -109,11 +154,13 @@ class WordEncoder:
         return ids, np.diff(text_ends)
 
 
-def supported(rules: dict) -> bool:
-    """Whether a tokenizer file says that words are lower-cased and encoded one by one, white space dropped."""
-    steps = [n.get("type") for n in (rules.get("normalizer") or {}).get("normalizers", [])]
-    first = ((rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-    return "Lowercase" in steps and first.get("behavior") == "Removed" and rules["model"].get("end_of_word_suffix") == "</w>"
+def supported(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases words and splits by the pattern, white space dropped."""
+    state = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+    steps = [n.get("type") for n in state(tokenizer.normalizer).get("normalizers", [])]
+    first = (state(tokenizer.pre_tokenizer).get("pretokenizers") or [{}])[0]
+    pattern = (first.get("pattern") or {}).get("Regex")
+    return "Lowercase" in steps and first.get("behavior") == "Removed" and pattern == PIECES and tokenizer.model.end_of_word_suffix == "</w>"
 
 
 @lru_cache(maxsize=2)
