@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,14 +21,25 @@ def conjunction(conditions: list[Column | None]) -> Column | None:
     return reduce(lambda a, b: a & b, present) if present else None
 
 
-def filters(path: str | None = None, doc_id: int | None = None, start: str | None = None, end: str | None = None, path_col: str = "path", doc_col: str = "doc_id", ts_col: str = "modified_ts") -> Column | None:
+def _bound(value: str | None, ts_type: str) -> Column | None:
+    """A literal of the time column's type, so that the comparison reaches the scan; None where the text is no time."""
+    try:
+        return None if value is None else F.lit(datetime.fromisoformat(value).isoformat(" ")).cast(ts_type)
+    except ValueError:
+        return None
+
+
+def filters(
+    path: str | None = None, doc_id: int | None = None, start: str | None = None, end: str | None = None,
+    path_col: str = "path", doc_col: str = "doc_id", ts_col: str = "modified_ts", ts_type: str = "timestamp_ntz",
+) -> Column | None:
     """Path and document equality and an inclusive range of time; bounds that can't be read are ignored."""
-    bound = lambda value, compare: None if value is None else F.coalesce(compare(F.col(ts_col), F.try_to_timestamp(F.lit(value))), F.try_to_timestamp(F.lit(value)).isNull())
+    low, high = _bound(start, ts_type), _bound(end, ts_type)
     return conjunction([
         F.col(path_col) == path if path else None,
         F.col(doc_col) == int(doc_id) if doc_id is not None else None,
-        bound(start, lambda a, b: a >= b),
-        bound(end, lambda a, b: a <= b),
+        F.col(ts_col) >= low if low is not None else None,
+        F.col(ts_col) <= high if high is not None else None,
     ])
 
 

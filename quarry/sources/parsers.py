@@ -96,14 +96,12 @@ def parse_markdown(path: str, data: bytes) -> Parsed:
 
 
 def sniff_delimiter(sample: str) -> str:
-    """The delimiter that splits the first lines most often and most evenly."""
+    """The delimiter that splits most of the first lines as it splits the first, the more columns the better."""
     lines = [x for x in sample.split("\n")[:20] if x.strip()]
-    best, most = ",", 0
-    for d in ",\t;|":
-        counts = [x.count(d) for x in lines]
-        if counts and min(counts) > 0 and min(counts) * (2 if min(counts) == max(counts) else 1) > most:
-            best, most = d, min(counts) * (2 if min(counts) == max(counts) else 1)
-    return best
+    if not lines:
+        return ","
+    agreeing = {d: sum(x.count(d) == lines[0].count(d) for x in lines) for d in ",\t;|" if d in lines[0]}
+    return max(agreeing, key=lambda d: (agreeing[d], lines[0].count(d)), default=",")
 
 
 def parse_csv(path: str, data: bytes) -> Parsed:
