@@ -27,14 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; Hadoop deletes it when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    """A new name in the application's own folder under the shared one; Hadoop deletes that when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(target.getParent())
+    fs.mkdirs(target)
     fs.deleteOnExit(target)
-    return path
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -45,15 +44,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised step that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def parallelism(spark: SparkSession) -> int:
     """Partitions to ask for where the shuffle's own number isn't used."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
