@@ -61,7 +61,28 @@ class HashingProvider(Provider):
         return out.tolist()
 
 
-_factories: dict[str, Callable[..., Provider]] = {"hashing": HashingProvider}
+class RemoteProvider(Provider):
+    """A provider behind a network interface: the caller supplies the function that sends a batch of texts."""
+
+    def __init__(self, name: str, model: str, dimensions: int, batch: int, delay: float, send: Callable[[list[str]], list[list[float]]] | None = None) -> None:
+        self.name, self.model, self.dimensions, self.batch, self.delay, self.send = name, model, dimensions, batch, delay, send
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        if self.send is None:
+            raise NotImplementedError(f"{self.name}: pass send=, a function from texts to vectors")
+        return self.send(texts)
+
+
+#: Dimensions, texts in a batch and seconds between batches of known services.
+REMOTE = {"openai": (1536, 100, 0.05), "cohere": (1024, 96, 0.05), "voyage": (1024, 128, 0.05), "local": (768, 64, 0.0)}
+
+
+def _remote(name: str) -> Callable[..., Provider]:
+    dimensions, batch, delay = REMOTE[name]
+    return lambda model="default", send=None, dimensions=dimensions: RemoteProvider(name, model, dimensions, batch, delay, send)
+
+
+_factories: dict[str, Callable[..., Provider]] = {"hashing": HashingProvider} | {name: _remote(name) for name in REMOTE}
 
 
 def register(name: str, factory: Callable[..., Provider]) -> None:

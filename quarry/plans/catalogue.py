@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extra, graphs, ingest, metadata, reports, retrieval, streams, texts  # noqa: F401  (they register their queries)
+from . import extra, graphs, ingest, metadata, more, reports, retrieval, streams, texts  # noqa: F401  (they register their queries)
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

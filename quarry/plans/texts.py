@@ -17,21 +17,11 @@ def _documents(spark, sf):
     return table(spark, sf, "documents")
 
 
-@query("x02_simple_sentences")
-def simple_sentences(spark, sf):
-    return _documents(spark, sf).select("doc_id", F.size(T.simple_sentences("text")).cast("long").alias("n"))
-
-
 @query("x03_sentences")
 def sentences(spark, sf):
     return _documents(spark, sf).select("doc_id", F.size(T.sentences("text")).cast("long").alias("n"))
 
 
-@query("x01_normalize_text")
-def normalize(spark, sf):
-    return _documents(spark, sf).select("doc_id", T.normalize_text("text").alias("text"))
-
-
 @query(
     "x04_truncate",
     r"""SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substring(text, 1, 77), '^(.+) [^ ]*$', '\1', 's') || '...' END AS short FROM documents""",
