@@ -11,6 +11,10 @@ those that its parent has already.  A search goes down the levels, adds up the d
 drops the node with all below it once they exceed two.  Linked fingerprints are united in the task, and only one
 edge for each member goes on to the distributed components.
 
+``draws`` over 1 takes as many independent SimHashes of the same shingles (from the shingle's hash by a fixed mixing) and
+links what any of them links, which finds looser copies with no wider radius.  Nodes are then still the first
+fingerprints.
+
 Defined cases: a null text counts as empty, and texts without words have fingerprint zero; equal fingerprints
 are linked; a null doc_id gets a fingerprint and a component but never names one unless all ids there are null; an empty
 table gives no rows; only ``doc_id`` and the text are read, so other columns can't clash.
@@ -37,11 +41,19 @@ FAN, INDEX_ROWS, SEARCH_ROWS = 8, 1 << 18, 1 << 12
 BATCH_ROWS = 1024
 
 
-def fingerprint(text: bytes, k: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """Majority of the bits of the shingles' XXH64; ``text`` is UTF-8, of which A-Z are lower-cased."""
+def _mixed(x: np.ndarray, draw: int) -> np.ndarray:
+    """Another 64-bit hash of each value (the finalizer of SplitMix64)."""
+    x = x + np.uint64(draw * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(text: bytes, draws: int = 1, k: int = SHINGLE_WORDS, seed: int = SEED) -> list[int]:
+    """Majority of the bits of the shingles' XXH64, and of further draws; ``text`` is UTF-8, of which A-Z are lower-cased."""
     words = text.lower().split()  # for bytes: ASCII letters, and the white space [\x20\x09-\x0D]
     if not words:
-        return 0
+        return [0] * draws
     digest = xxhash.xxh64_digest
     if len(words) <= k:
         hashes = digest(b" ".join(words), seed)
@@ -51,19 +63,29 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS, seed: int = SEED) -> int:
         starts = np.concatenate(([0], ends[:-k])).tolist()
         hashes = b"".join([digest(joined[s:e], seed) for s, e in zip(starts, (ends[k - 1 :] - 1).tolist())])
     n = len(hashes) // 8
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((draws, 64), np.int64)
     for at in range(0, n, 4096):
-        part = np.frombuffer(hashes, np.uint8, min(4096, n - at) * 8, at * 8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+        part = np.frombuffer(hashes, ">u8", min(4096, n - at), at * 8).astype(np.uint64)
+        for draw in range(draws):
+            own = (_mixed(part, draw) if draw else part).astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones[draw] += np.unpackbits(own, axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(row.tobytes(), "big") for row in np.packbits(ones * 2 > n, axis=1)]
+
+
+def fingerprint(text: bytes) -> int:
+    return fingerprints(text)[0]
+
 
+def _fingerprints(draws: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                found = np.array([fingerprints(t, draws) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, draws)
+                more = pa.array(list(found[:, 1:].view(np.int64)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(found[:, 0]).view(np.int64)), more], names=["doc_id", "fp", "more"])
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, BATCH_ROWS):
-            batch = whole.slice(at, BATCH_ROWS)
-            found = np.array([fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+    return run
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -121,7 +143,7 @@ class GrayForest:
             yield query[keep], node[keep]
 
     def edges(self, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-        """An edge for each fingerprint that is linked to a smaller place in its bucket."""
+        """For each fingerprint that is linked to a smaller place in its bucket: that place and its own, as input rows."""
         label = np.arange(len(self.fps))
         for i, j in self.pairs(most):
             while True:
@@ -133,78 +155,88 @@ class GrayForest:
                 while (label[label] != label).any():
                     label = label[label]
         linked = np.flatnonzero(label != np.arange(len(label)))
-        return self.fps[label[linked]], self.fps[linked]
+        return self.order[label[linked]], self.order[linked]
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; whole buckets are indexed, about ``INDEX_ROWS`` rows at a time."""
 
-    def searched(bucket: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def searched(bucket: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(bucket) + 1, bool)
         new[1:-1] = bucket[1:] != bucket[:-1]
         with_others = ~(new[:-1] & new[1:])
         a, b = GrayForest(bucket[with_others], fps[with_others]).edges()
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        nodes = nodes[with_others]
+        return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
 
-    buckets: list[np.ndarray] = []
-    held: list[np.ndarray] = []
+    held: list[list[np.ndarray]] = [[], [], []]
     rows = 0
     for batch in batches:
-        buckets.append(batch.column(0).to_numpy(zero_copy_only=False))
-        held.append(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+        for column, part in zip(held, batch.columns):
+            column.append(part.to_numpy(zero_copy_only=False))
         rows += batch.num_rows
         if rows >= INDEX_ROWS:
-            bucket, fps = np.concatenate(buckets), np.concatenate(held)
+            bucket, fps, nodes = map(np.concatenate, held)
             cut = int(np.searchsorted(bucket, bucket[-1], "left"))
             if cut:
-                yield searched(bucket[:cut], fps[:cut])
-            buckets, held, rows = [bucket[cut:]], [fps[cut:]], len(bucket) - cut
+                yield searched(bucket[:cut], fps[:cut].view(np.uint64), nodes[:cut])
+            held, rows = [[bucket[cut:]], [fps[cut:]], [nodes[cut:]]], len(bucket) - cut
     if rows:
-        yield searched(np.concatenate(buckets), np.concatenate(held))
+        bucket, fps, nodes = map(np.concatenate, held)
+        yield searched(bucket, fps.view(np.uint64), nodes)
 
 
 _PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
-def _keys(width: int, at: list[int], base=None):
-    """Structs (bucket) for the six pairs of four blocks of ``width`` bits that begin at the given bits."""
+def _keys(width: int, at: list[int]):
+    """The two blocks of each of the six pairs of four blocks of ``width`` bits that begin at the given bits."""
     part = lambda bit: F.shiftrightunsigned("fp", bit).bitwiseAND(F.lit((1 << width) - 1))
     return [(k, F.shiftleft(part(at[i]), width).bitwiseOR(part(at[j]))) for k, (i, j) in enumerate(_PAIRS)]
 
 
 def _buckets(fps: DataFrame, bucket_rows: int) -> DataFrame:
-    """(bucket, fp) rows: 16-bit blocks first, and 8-bit blocks of the free bits in buckets that are too large."""
-    first = F.array(*[(v + F.lit(k << 32)) for k, v in _keys(16, [0, 16, 32, 48])])
-    rows = fps.select("fp", F.explode(first).alias("bucket"))
+    """(bucket, fp, node) rows of (draw, fp, node): 16-bit blocks first, and 8-bit blocks of the free bits in buckets that are too large."""
+    six = F.lit(len(_PAIRS))
+    first = F.array(*[v + F.shiftleft((F.col("draw") * six + F.lit(k)).cast("long"), 32) for k, v in _keys(16, [0, 16, 32, 48])])
+    rows = fps.select("fp", "node", F.explode(first).alias("bucket"))
     large = common.materialize(rows.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.lit(True).alias("large")), "simhash-large")
     if large.isEmpty():
-        return rows.select("bucket", "fp")
+        return rows.select("bucket", "fp", "node")
     marked = rows.join(large, "bucket", "left")
-    kept = marked.where("large is null").select("bucket", "fp")
+    kept = marked.where("large is null").select("bucket", "fp", "node")
     for k, pair in enumerate(_PAIRS):
         free = [b for b in range(4) if b not in pair]
         starts = [16 * free[0], 16 * free[0] + 8, 16 * free[1], 16 * free[1] + 8]
         again = F.array(*[F.xxhash64("bucket", F.lit(n)).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(v) for n, v in _keys(8, starts)])
         # keys of the second dealing are negative hashes of what they stand for; a clash only makes a bucket larger
-        kept = kept.unionByName(
-            marked.where("large").where(F.shiftright("bucket", 32) == k).select(F.explode(again).alias("key"), "fp").select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("bucket"), "fp")
-        )
+        own = marked.where("large").where(F.shiftright("bucket", 32) % six == k).select(F.explode(again).alias("key"), "fp", "node")
+        kept = kept.unionByName(own.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("bucket"), "fp", "node"))
     return kept
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", bucket_rows: int = BUCKET_ROWS, draws: int = 1) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fp (signed long) and component_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"))
-    rows = common.materialize(common.map_arrow(rows, _fingerprints, "doc_id long, fp long"), "simhash-fingerprints")
+    rows = common.materialize(common.map_arrow(rows, _fingerprints(draws), "doc_id long, fp long, more array<long>"), "simhash-fingerprints")
     fps = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    dealt = _buckets(fps.select("fp"), bucket_rows).repartition(common.parallelism(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    drawn = fps.select(F.lit(0).alias("draw"), "fp", F.col("fp").alias("node"))
+    equal = None
+    if draws > 1:
+        # a fingerprint of a later draw that several nodes share links them; the smallest node stands for it in the index
+        later = rows.select("fp", F.posexplode("more").alias("draw", "other")).select(F.col("fp").alias("node"), (F.col("draw") + 1).alias("draw"), F.col("other").alias("fp")).distinct()
+        later = common.materialize(later, "simhash-draws")
+        first = common.materialize(later.groupBy("draw", "fp").agg(F.min("node").alias("a")), "simhash-draw-nodes")
+        equal = later.join(first, ["draw", "fp"]).where("a <> node").select("a", F.col("node").alias("b"))
+        drawn = drawn.unionByName(first.select("draw", "fp", F.col("a").alias("node")))
+    dealt = _buckets(drawn, bucket_rows).repartition(common.parallelism(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
     edges = common.materialize(common.map_arrow(dealt, _bucket_edges, "a long, b long"), "simhash-edges")
-    roots = connected_components(edges)
+    roots = connected_components(edges if equal is None else edges.unionByName(equal))
 
     named = common.materialize(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     names = common.materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
     by_fp = common.materialize(named.join(names, "root").select("fp", "component_id"), "simhash-by-fp")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return rows.select("doc_id", "fp").join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from quarry.llm.mixing import meet, mix, source_targets
 from quarry.llm.packing import CapacityTree, best_fit_decreasing, pack
 from quarry.llm.quality import quality, repeated_lines, repeated_words
 from quarry.llm.sharding import measured, shard_by_bytes
-from quarry.llm.simhash import GrayForest, fingerprint, gray_rank, near_duplicates
+from quarry.llm.simhash import GrayForest, fingerprint, fingerprints, gray_rank, near_duplicates
 from quarry.llm.tokens import WordEncoder, default_path
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -158,7 +158,39 @@ def test_components_of_clusters(spark, monkeypatch, bucket_rows):
 def _stub_fingerprints(real):
     from pyspark.sql import functions as F
 
-    return lambda df, f, schema: df.select("doc_id", F.col("text").cast("long").alias("fp")) if "fp" in schema else real(df, f, schema)
+    return lambda df, f, schema: df.select("doc_id", F.col("text").cast("long").alias("fp"), F.array().cast("array<long>").alias("more")) if "fp" in schema else real(df, f, schema)
+
+
+def test_further_draws(spark):
+    """Each draw links as brute force over its fingerprints does."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(30):
+        body = [f"w{i}" for i in rng.integers(0, 5000, 150)]
+        for _ in range(3):
+            copy = list(body)
+            for i in rng.integers(0, 150, int(rng.integers(0, 4))):
+                copy[i] = "changed"
+            texts.append(" ".join(copy))
+    every = [fingerprints(t.encode(), 4) for t in texts]
+    assert [f[0] for f in every] == [fingerprint(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if any((a ^ b).bit_count() <= 2 for a, b in zip(every[i], every[j])):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_duplicates(df, draws=4).collect()}
+    assert [found[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    once = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert len(set(found.values())) < len(set(once.values()))
 
 
 def test_gray_forest_finds_all_pairs():

@@ -18,7 +18,7 @@ def test_stages(spark, sf):
             kept = {
                 "quality_rules": lambda: quality(docs).where("kept"),
                 "exact_dedup": lambda: exact_duplicates(docs).where("kept"),
-                "near_dedup": lambda: near_duplicates(docs).where("doc_id = component_id"),
+                "near_dedup": lambda: near_duplicates(docs, draws=pipeline.DRAWS).where("doc_id = component_id"),
             }[name]()
             want = sorted(r.doc_id for r in kept.collect())
         assert ids == want
