@@ -21,6 +21,8 @@ from quarry.llm.quality import quality
 from quarry.llm.simhash import near_duplicates
 
 KEY = "__pipeline_doc_id"
+#: Independent SimHashes of near-dedup: copies are linked if any of them differs in two bits at most.
+DRAWS = 8
 
 
 def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -43,8 +45,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return _keep(docs, near_duplicates(docs).where("doc_id <=> component_id"))
+    """The document with the smallest id of each group of near copies; eight independent SimHashes find looser ones."""
+    return _keep(docs, near_duplicates(docs, draws=DRAWS).where("doc_id <=> component_id"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
