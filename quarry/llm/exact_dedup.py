@@ -122,7 +122,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     members = members.join(reps.select("rid", "doc_id", "n_points", "n_local"), "rid")
     members = common.materialize(members, "dedup-members")
     best = members.groupBy("cid").agg(F.min(F.struct(-F.col("n_points"), "doc_id", "rid")).alias("best"), F.sum("n_local").alias("size"))
+    best = common.materialize(best, "dedup-best")  # stored like the other side: Spark can then split a class with many members
     best = members.select(F.col("rid").alias("rep"), "cid").join(best, "cid").select("rep", F.struct(F.col("best.doc_id").alias("doc_id"), F.col("best.rid").alias("rid"), "size").alias("all"))
+    best = common.materialize(best, "dedup-by-rep")
     found = local.select("doc_id", "rid", "rep", "rep_doc_id", "n_local", "text_sha256").join(best, "rep", "left")
     return found.select(
         "doc_id",
