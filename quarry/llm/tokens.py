@@ -9,6 +9,7 @@ that lower-cases and splits by the pattern below, such as ``word_bpe_49k.json``;
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -26,13 +27,18 @@ MOST_WORDS = 300_000
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _PRINTABLE = re.compile(rb"[!-~]+")
+_MARKS_AT_END = re.compile(rb"[!-/:-@\[-`{-~]+\Z")
+_TAILS = (b".", b",")
 
 
-def _byte_characters() -> dict[int, int]:
-    """The character that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in own]
-    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)}
+def _byte_characters() -> str:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else from 256 on.
+    The space stays, as it parts words here."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    table = [chr(b if b in own else next(others)) for b in range(256)]
+    table[32] = " "
+    return "".join(table)
 
 
 _CHARACTERS = _byte_characters()
@@ -69,22 +75,22 @@ class WordEncoder:
 
     @staticmethod
     def _pieces(word: bytes) -> list[bytes] | None:
-        """The library's pieces of a lower-cased word, None if that takes the library to tell."""
-        if word.isalpha():  # for bytes: ASCII letters
-            return [word]
+        """The library's pieces of a lower-cased word that isn't all ASCII letters, None if that takes the library to tell."""
         if _PRINTABLE.fullmatch(word):
             return _ASCII_PIECES.findall(word) if b"<|" not in word else None
-        text = word.decode()
+        marks = _MARKS_AT_END.search(word)
+        core = word[: marks.start()] if marks else word
+        text = core.decode()
         if text.isalpha() and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
             lower = text.lower()
-            return [lower.encode()] if lower.isalpha() else None
+            if lower.isalpha() and (marks is None or b"<|" not in marks[0]):
+                return [lower.encode()] if marks is None else [lower.encode(), marks[0]]
         return None
 
     def _encode_bases(self, bases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct texts without white space, one after another, and how many each has."""
-        pieces = [self._pieces(b) for b in bases]
-        plain = b" ".join([b" ".join(p) for p in pieces if p is not None])
-        text = plain.decode() if plain.isascii() else " ".join([x.decode("latin-1").translate(_CHARACTERS) for x in plain.split(b" ")])
+        pieces = [[b] if b.isalpha() else self._pieces(b) for b in bases]
+        text = codecs.charmap_decode(b" ".join([b" ".join(p) for p in pieces if p is not None]), "strict", _CHARACTERS)[0]
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) if text else np.empty(0, np.uint32)
         ends = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
         n_pieces = np.array([len(p) if p is not None else 0 for p in pieces], np.int64)
@@ -106,7 +112,7 @@ class WordEncoder:
         """Add the ids of new words, which have the next places already."""
         known = len(self.first) - 1
         # a full stop or comma after an ASCII letter is a piece of its own, whatever comes before
-        tailed = [len(w) > 1 and w[-1] in b".," and w[-2:-1].isalpha() and b"<|" not in w for w in words]
+        tailed = [w.endswith(_TAILS) and w[-2:-1].isalpha() and b"<|" not in w for w in words]
         bases = [w[:-1] if t else w for w, t in zip(words, tailed)]
         fresh: dict[bytes, int] = {}
         at = [self.place.get(b, -1) for b in bases]
@@ -124,7 +130,7 @@ class WordEncoder:
         step = np.arange(int(own.sum())) - np.repeat(inside, own)
         out[np.repeat(begins, own) + step] = pool[np.repeat(starts[at], own) + step]
         if tail.any():
-            marks = {t: int(self._library(t.decode())[0]) for t in (b".", b",")}
+            marks = {t: int(self._library(t.decode())[0]) for t in _TAILS}
             out[ends[tail > 0] - 1] = [marks[w[-1:]] for w, t in zip(words, tailed) if t]
         self.flat = np.concatenate((self.flat, out))
         self.first = np.concatenate((self.first, self.first[-1] + ends))
