@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 from quarry.llm.exact_dedup import exact_duplicates
 from quarry.llm.mixing import mix
+from quarry.llm.near_copies import near_copies
 from quarry.llm.packing import pack
 from quarry.llm.quality import quality
-from quarry.llm.simhash import near_duplicates
 
 KEY = "__pipeline_doc_id"
-#: Independent SimHashes of near-dedup: copies are linked if any of them differs in two bits at most.
+#: Independent SimHashes that ``near_duplicates`` is compared with in tests; the stage compares the texts' shingles.
 DRAWS = 8
 
 
@@ -45,8 +45,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; eight independent SimHashes find looser ones."""
-    return _keep(docs, near_duplicates(docs, draws=DRAWS).where("doc_id <=> component_id"))
+    """The document with the smallest id of each group of near copies: 0.8 or more of their five-word shingles agree."""
+    return _keep(docs, near_copies(docs).where("doc_id <=> component_id"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
