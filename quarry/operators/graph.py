@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import ship
-from .vector_search import hyperplane_buckets
 
-#: Up to so many vectors all pairs are compared; beyond, those that share a bucket.
+#: So many vectors a block is to hold at most.
 ALL_PAIRS, EXACT_BETWEENNESS, SAMPLED_SOURCES = 5000, 100, 100
+#: Blocks at least; rows of a product; what a product may differ from the sum in order.
+LEAST_BLOCKS, PRODUCT_ROWS, SLACK = 8, 512, 1e-9
 
 
 def centroids(vectors: DataFrame, owner: str, embedding: str = "embedding") -> DataFrame:
@@ -26,21 +29,47 @@ def centroids(vectors: DataFrame, owner: str, embedding: str = "embedding") -> D
     return means.groupBy(owner).agg(F.transform(ordered, lambda p: p["m"]).alias("centroid"))
 
 
+def _block_pairs(threshold: float):
+    """Pairs within the blocks of two numbers, or between them, from (i, j, own, key, u) rows of one (i, j, length)."""
+
+    def run(whole: pa.Table) -> pa.Table:
+        own, keys = whole["own"].to_numpy(), whole["key"].combine_chunks()
+        units = pc.list_flatten(whole["u"]).to_numpy().reshape(whole.num_rows, -1) if len(pc.list_flatten(whole["u"])) else np.zeros((whole.num_rows, 0))
+        i, j = whole["i"][0].as_py(), whole["j"][0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found: list[list[np.ndarray]] = [[], [], []]
+        for at in range(0, len(left), PRODUCT_ROWS):
+            rows = left[at : at + PRODUCT_ROWS]
+            near = ~(units[rows] @ units[right].T < threshold - SLACK)
+            if i == j:
+                near &= rows[:, None] < right[None, :]
+            x, y = np.nonzero(near)
+            x, y = rows[x], right[y]
+            weight = np.zeros(len(x))
+            for d in range(units.shape[1]):  # in the order in which V.dot adds
+                weight += units[x, d] * units[y, d]
+            kept = ~(weight < threshold)
+            for column, part in zip(found, (x[kept], y[kept], weight[kept])):
+                column.append(part)
+        x, y, weight = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
+        return pa.table({"a": keys.take(pa.array(x, pa.int64())), "b": keys.take(pa.array(y, pa.int64())), "weight": pa.array(weight, pa.float64())})
+
+    return run
+
+
 def similar_pairs(vectors: DataFrame, key: str, threshold: float, embedding: str = "embedding", all_pairs: int = ALL_PAIRS) -> DataFrame:
-    """(source, target, weight) for pairs with source < target and cosine at the threshold or above."""
-    unit = vectors.select(key, V.unit(F.col(embedding)).alias("u"))
-    a = unit.select(F.col(key).alias("source"), F.col("u").alias("ua"))
-    b = unit.select(F.col(key).alias("target"), F.col("u").alias("ub"))
-    if vectors.limit(all_pairs + 1).count() <= all_pairs:
-        pairs = a.join(b, F.col("source") < F.col("target"))
-    else:
-        dims = len(vectors.select(embedding).first()[0])
-        dealt = hyperplane_buckets(vectors.select(key, embedding), dims, embedding=embedding).select(key, "table", "bucket")
-        left = dealt.select(F.col(key).alias("source"), "table", "bucket")
-        right = dealt.select(F.col(key).alias("target"), "table", "bucket")
-        found = left.join(right, ["table", "bucket"]).where("source < target").select("source", "target").distinct()
-        pairs = found.join(a, "source").join(b, "target")
-    return pairs.select("source", "target", V.dot(F.col("ua"), F.col("ub")).alias("weight")).where(F.col("weight") >= threshold)
+    """(source, target, weight) for pairs with source < target and cosine at the threshold or above.
+
+    All vectors are compared at every size: dealt into blocks of about ``all_pairs`` at most, each pair of blocks one product.
+    """
+    ship(vectors.sparkSession)
+    unit = vectors.select(F.col(key).alias("key"), V.unit(F.col(embedding)).alias("u")).where(F.col("key").isNotNull() & F.col("u").isNotNull() & ~F.exists("u", lambda x: x.isNull()))
+    blocks = max(LEAST_BLOCKS, -(-vectors.count() // all_pairs))
+    dealt = unit.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "u", F.size("u").alias("length"))
+    kind = unit.schema["key"].dataType.simpleString()
+    pairs = dealt.groupBy("i", "j", "length").applyInArrow(_block_pairs(threshold), f"a {kind}, b {kind}, weight double")
+    return pairs.where("a <> b").select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), "weight")
 
 
 def tag_edges(doc_tags: DataFrame, doc: str, tags: str) -> DataFrame:
