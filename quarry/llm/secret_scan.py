@@ -41,6 +41,8 @@ DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _NUMERIC = re.compile(r"[0-9TZ+/_=-]+")
 _HEX_ONLY = re.compile(r"(0x)?[0-9a-fA-F]+")
+#: Parts between separators, the coarse ones first.
+SEPARATORS = (re.compile(r"[^+/=]+"), re.compile(r"[^+/=_-]+"))
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -81,7 +83,7 @@ def encoding(path: str):
     return tiktoken.Encoding("quarry", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known(candidate: str) -> bool:
+def known(candidate: str, vocabulary: str) -> bool:
     """Digests and identifiers, which may look random but aren't secrets."""
     if _UUID.fullmatch(candidate) or _NUMERIC.fullmatch(candidate):
         return True
@@ -89,18 +91,34 @@ def known(candidate: str) -> bool:
         return True
     parts = [p for p in re.split(r"[+/_=-]+", candidate) if p]
     words = [w for p in parts for w in _WORD.findall(p)]
-    # a name: made of few, long words; random strings change class every other character
-    return len(words) <= len(parts) or sum(map(len, words)) >= 4 * len(words)
+    if len(words) > len(parts) and sum(map(len, words)) < 4 * len(words):
+        return False  # random strings change class every other character
+    # a name: made of few, long words, such as the vocabulary has seen in lower case
+    words = [w.lower() for w in words if not w.isdigit()]
+    return sum(map(len, words)) >= MOST_EFFICIENCY * sum(map(len, encoding(vocabulary).encode_ordinary_batch(words, num_threads=1)))
+
+
+def is_random(candidate: str, vocabulary: str) -> bool:
+    return len(candidate) < MOST_EFFICIENCY * len(encoding(vocabulary).encode_ordinary(candidate)) and not known(candidate, vocabulary)
+
+
+def random_parts(run: str, at: int, vocabulary: str, separators: tuple[re.Pattern, ...] = SEPARATORS) -> list[tuple[int, int, str]]:
+    """The run if it is random, else its random parts: between separators of paths and assignments, then of names."""
+    if is_random(run, vocabulary):
+        return [(at, at + len(run), "random")]
+    if not separators or _UUID.fullmatch(run):
+        return []
+    parts = [m for m in separators[0].finditer(run) if len(m[0]) >= LEAST_LENGTH]
+    return [s for m in parts for s in random_parts(m[0], at + m.start(), vocabulary, separators[1:])]
 
 
 def random_spans(text: str, covered: list[tuple[int, int, str]], vocabulary: str) -> list[tuple[int, int, str]]:
     found = []
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for s, e, _ in covered) or known(m[0]):
+        if any(s < end and start < e for s, e, _ in covered):
             continue
-        if len(m[0]) < MOST_EFFICIENCY * len(encoding(vocabulary).encode_ordinary(m[0])):
-            found.append((start, end, "random"))
+        found += random_parts(m[0], start, vocabulary)
     return found
 
 
