@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 
 MOST_RESULTS = 1000
+#: Bits by which a probed bucket may differ from the query's own.
+FLIPS = 1
 
 
 def literal(vector: list[float]) -> Column:
@@ -37,10 +39,12 @@ def hyperplane_buckets(vectors: DataFrame, dims: int, tables: int = 12, bits: in
     return vectors.withColumn("__b", F.explode(F.array(*signs))).select("*", "__b.table", "__b.bucket").drop("__b")
 
 
-def approximate_nearest(vectors: DataFrame, key: str, query: list[float], k: int = 10, embedding: str = "embedding", **index) -> DataFrame:
-    """Neighbours among the vectors that share a bucket with the query, by their exact distance."""
+def approximate_nearest(vectors: DataFrame, key: str, query: list[float], k: int = 10, embedding: str = "embedding", tables: int = 12, bits: int = 6, flips: int = FLIPS, **index) -> DataFrame:
+    """Neighbours among the vectors that in some table differ from the query in ``flips`` bits at most, by their exact distance."""
     spark = vectors.sparkSession
+    index |= {"tables": tables, "bits": bits, "embedding": embedding}
     asked = spark.createDataFrame([(query,)], f"{embedding} array<double>")
-    of_query = hyperplane_buckets(asked, len(query), embedding=embedding, **index).select("table", "bucket")
-    near = hyperplane_buckets(vectors, len(query), embedding=embedding, **index).join(F.broadcast(of_query), ["table", "bucket"], "left_semi")  # a row for each table
+    masks = F.array(*[F.lit(m) for m in range(1 << bits) if m.bit_count() <= flips])
+    of_query = hyperplane_buckets(asked, len(query), **index).withColumn("mask", F.explode(masks)).select("table", F.col("bucket").bitwiseXOR(F.col("mask")).alias("bucket"))
+    near = hyperplane_buckets(vectors, len(query), **index).join(F.broadcast(of_query), ["table", "bucket"], "left_semi")  # a row for each table and mask
     return nearest(near.dropDuplicates([key]).drop("table", "bucket"), key, query, k, embedding)

@@ -1,4 +1,4 @@
-"""Similar pairs at the query's own threshold beyond one block."""
+"""Similar pairs at the query's own threshold beyond one block, and the recall of approximate search."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import vectors as V
-from quarry.operators import graph
+from quarry.operators import graph, vector_search
 
 
 def test_all_pairs_in_blocks(spark):
@@ -19,3 +19,14 @@ def test_all_pairs_in_blocks(spark):
     for most in (5000, 5):
         found = graph.similar_pairs(df, "id", 0.3, all_pairs=most).collect()
         assert len(found) == len(want) and {(r.source, r.target): r.weight for r in found} == pytest.approx(want)
+
+
+def test_query_recall(spark):
+    """What r02_lsh_topk runs, against brute force."""
+    from quarry.plans import retrieval
+    from quarry.plans.registry import query_vector
+
+    sf = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    exact = {r.vec_id for r in vector_search.nearest(e, "vec_id", query_vector(spark, sf), 10).collect()}
+    assert len(exact & {r.vec_id for r in retrieval.lsh_topk(spark, sf).collect()}) >= 0.9 * 10
