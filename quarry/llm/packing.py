@@ -29,10 +29,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import default_path, encoder
+from .tokens import byte_batches, default_path, encoder
 
 SEQUENCE, END_ID = 2048, 0
-BATCH_ROWS = 256
 
 
 class CapacityTree:
@@ -113,28 +112,27 @@ def _pieces(path: str, most: int, end_id: int):
         task = TaskContext.get().partitionId()
         seen = np.zeros(most + 1, np.int64)
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
-                ids, counts = encoder(path).encode(batch.column(1).cast(pa.binary()).to_pylist())
-                rows: list[tuple[int | None, int, int, int, int]] = []
-                begin = 0
-                for doc, n in zip(batch.column(0).to_pylist(), counts.tolist()):
-                    own = np.append(ids[begin : begin + n], np.uint32(end_id)).astype("<u4")
-                    begin += n
-                    for piece, start in enumerate(range(0, n + 1, most)):
-                        part = own[start : start + most]
-                        rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
-                length = np.array([r[3] for r in rows], np.int64)
+            for batch in byte_batches(whole):
+                ids, counts = encoder(path).encode(batch.column(1))
+                ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype("<u4", copy=False)
+                counts = counts + 1
+                n_pieces = -(-counts // most)
+                doc = np.repeat(np.arange(len(counts)), n_pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+                start = piece * most
+                length = np.minimum(most, counts[doc] - start)
+                data = memoryview(ids).cast("B")
+                begin = ((np.cumsum(counts) - counts)[doc] + start) * 4
+                crc = [zlib.crc32(data[b:e]) for b, e in zip(begin.tolist(), (begin + 4 * length).tolist())]
                 # numbers of equal lengths within the task, in order
                 order = np.argsort(length, kind="stable")
                 ordered = length[order]
                 new = np.flatnonzero(np.diff(ordered, prepend=-1))
-                number = np.empty(len(rows), np.int64)
-                number[order] = np.arange(len(rows)) - np.repeat(new, np.diff(np.append(new, len(rows)))) + seen[ordered]
+                number = np.empty(len(length), np.int64)
+                number[order] = np.arange(len(length)) - np.repeat(new, np.diff(np.append(new, len(length)))) + seen[ordered]
                 np.add.at(seen, length, 1)
-                doc, piece, start, _, crc = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length), pa.array(crc, pa.int64()), pa.array([task] * len(rows), pa.int32()), pa.array(number)],
+                    [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), task, np.int32)), pa.array(number)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "number"],
                 )
 

@@ -28,11 +28,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, rans
-from .tokens import default_path, encoder
+from .tokens import byte_batches, default_path, encoder
 
 MAGIC = b"QTOKANS1"
 FILE_IDS = 1 << 21
-BATCH_ROWS = 256
 
 
 def _filesystem(uri: str):
@@ -130,9 +129,8 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
             return row
 
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
-                ids, n = encoder(tokenizer).encode(batch.column(1).cast(pa.binary()).to_pylist())
+            for batch in byte_batches(whole):
+                ids, n = encoder(tokenizer).encode(batch.column(1))
                 ended = np.insert(ids, np.cumsum(n), end_id)
                 docs += batch.column(0).to_pylist()
                 counts.append(n + 1)

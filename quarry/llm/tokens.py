@@ -1,10 +1,11 @@
-"""Token ids by the tokenizers library, with each distinct word encoded once.
+"""Token ids by the tokenizers library, with each distinct word of a batch encoded once.
 
 For a vocabulary that drops white space and never joins across it, a text's ids are those of its words in order.
-``WordEncoder`` therefore keeps the ids of the words it has met (up to a limit, then it starts anew) and has the
-library encode the others.  Words whose pieces are plain to see (letters, and ASCII) go to a second instance of the
-same model that only splits at spaces, all in one call; the rest goes through the whole tokenizer.  This needs a tokenizer
-that lower-cases and splits by the pattern below, such as ``word_bpe_49k.json``; ``supported`` says so.
+``WordEncoder`` therefore splits a batch into words, gives the library the distinct ones and looks all others up; nothing
+is kept from one batch to the next, so memory is bounded by the batch.  Words whose pieces are plain to see (ASCII, and
+Latin letters) go to a second instance of the same model that only splits at spaces, all in one call; the rest goes through
+the whole tokenizer.  This needs a tokenizer that lower-cases and splits by the pattern below, such as
+``word_bpe_49k.json``; ``supported`` says so.
 """
 
 from __future__ import annotations
@@ -13,22 +14,24 @@ import codecs
 import json
 import os
 import re
-import unicodedata
-from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words kept in memory by a worker, about 100 MB.
-MOST_WORDS = 300_000
+#: Bytes of text that are encoded together; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 #: The tokenizer's pattern for pieces of words, and the same for lower-case ASCII.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ASCII_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PRINTABLE = re.compile(rb"[!-~]+")
-_MARKS_AT_END = re.compile(rb"[!-/:-@\[-`{-~]+\Z")
-_TAILS = (b".", b",")
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters whose normal form is their own and whose lower case is one letter in any context.
+_LATIN = "^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+$"
+_LATIN_OR_DIGIT_LAST = "[0-9A-Za-zÀ-ÖØ-öø-įı-ɏ]$"
+_PRINTABLE = "^[!-~]+$"
 
 
 def _byte_characters() -> str:
@@ -50,114 +53,108 @@ def default_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_batches(batch: pa.RecordBatch, column: int = 1, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have at most so many bytes together, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[first[i]:first[i + 1]]`` for each i of ``at``, one after another, and their lengths."""
+    runs = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat))
+    return runs.take(pa.array(at)).flatten().to_numpy(), np.diff(first)[at]
+
+
 class WordEncoder:
-    def __init__(self, path: str, most_words: int = MOST_WORDS) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker is one of many on its machine
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.most_words = most_words
         if not supported(self.library):
             raise ValueError(f"{path}: words can't be encoded one by one under this tokenizer")
         self.model = Tokenizer(self.library.model)  # shares the vocabulary and merges
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         tokens = map(self.library.id_to_token, range(self.library.get_vocab_size(with_added_tokens=True)))
         self.ends = np.array([t is not None and t.endswith("</w>") for t in tokens])
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: defaultdict[bytes, int] = defaultdict(count().__next__)
-        self.flat = np.empty(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
-
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    @staticmethod
-    def _pieces(word: bytes) -> list[bytes] | None:
-        """The library's pieces of a lower-cased word that isn't all ASCII letters, None if that takes the library to tell."""
-        if _PRINTABLE.fullmatch(word):
-            return _ASCII_PIECES.findall(word) if b"<|" not in word else None
-        marks = _MARKS_AT_END.search(word)
-        core = word[: marks.start()] if marks else word
-        text = core.decode()
-        if text.isalpha() and "\u03a3" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text):
-            lower = text.lower()
-            if lower.isalpha() and (marks is None or b"<|" not in marks[0]):
-                return [lower.encode()] if marks is None else [lower.encode(), marks[0]]
-        return None
-
-    def _encode_bases(self, bases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct texts without white space, one after another, and how many each has."""
-        pieces = [[b] if b.isalpha() else self._pieces(b) for b in bases]
-        text = codecs.charmap_decode(b" ".join([b" ".join(p) for p in pieces if p is not None]), "strict", _CHARACTERS)[0]
-        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) if text else np.empty(0, np.uint32)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids by the whole tokenizer."""
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _encode_pieces(self, words: list[str], n_pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are given as their pieces with spaces between, and the ends of each word's ids."""
+        text = codecs.charmap_decode(" ".join(words).encode(), "strict", _CHARACTERS)[0]
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) if words else np.empty(0, np.uint32)
         ends = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
-        n_pieces = np.array([len(p) if p is not None else 0 for p in pieces], np.int64)
         if len(ends) != n_pieces.sum() + 1:
             raise RuntimeError("the vocabulary doesn't mark the ends of words")
-        upto = ends[np.cumsum(n_pieces)]
-        lengths = np.diff(upto, prepend=0)
-        whole = {i: self._library(bases[i].decode()) for i, p in enumerate(pieces) if p is None}
-        if whole:
-            parts, at = [], 0
-            for i, own in whole.items():
-                end = int(upto[i])
-                parts += [ids[at:end], own]
-                lengths[i], at = len(own), end
-            ids = np.concatenate([*parts, ids[at:]])
-        return ids, lengths
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Add the ids of new words, which have the next places already."""
-        known = len(self.first) - 1
-        # a full stop or comma after an ASCII letter is a piece of its own, whatever comes before
-        tailed = [w.endswith(_TAILS) and w[-2:-1].isalpha() and b"<|" not in w for w in words]
-        bases = [w[:-1] if t else w for w, t in zip(words, tailed)]
-        fresh: dict[bytes, int] = {}
-        at = [self.place.get(b, -1) for b in bases]
-        at = [p if 0 <= p < known else known + fresh.setdefault(b, len(fresh)) for p, b in zip(at, bases)]
-        ids, lengths = self._encode_bases(list(fresh)) if fresh else (np.empty(0, np.uint32), np.empty(0, np.int64))
-        pool = np.concatenate((self.flat, ids))
-        starts = np.concatenate((self.first, self.first[-1] + np.cumsum(lengths)))
-        at = np.array(at, np.int64)
-        own = starts[at + 1] - starts[at]
-        tail = np.array(tailed, np.int64)
-        ends = np.cumsum(own + tail)
-        out = np.empty(int(ends[-1]), np.uint32)
-        begins = ends - own - tail
-        inside = np.cumsum(own) - own
-        step = np.arange(int(own.sum())) - np.repeat(inside, own)
-        out[np.repeat(begins, own) + step] = pool[np.repeat(starts[at], own) + step]
-        if tail.any():
-            marks = {t: int(self._library(t.decode())[0]) for t in _TAILS}
-            out[ends[tail > 0] - 1] = [marks[w[-1:]] for w, t in zip(words, tailed) if t]
-        self.flat = np.concatenate((self.flat, out))
-        self.first = np.concatenate((self.first, self.first[-1] + ends))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return ids, ends[np.cumsum(n_pieces)]
+
+    def _encode_cores(self, cores: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after another, and where each word's begin (and the last one's end)."""
+        letters = pc.match_substring_regex(cores, _LATIN).to_numpy(zero_copy_only=False)
+        mixed = pc.match_substring_regex(cores, _PRINTABLE).to_numpy(zero_copy_only=False) & ~letters
+        lower = pc.utf8_lower(cores.filter(pa.array(letters))).to_pylist()
+        split = [" ".join(_ASCII_PIECES.findall(w)) for w in cores.filter(pa.array(mixed)).to_pylist()]
+        others = self._whole(cores.filter(pa.array(~(letters | mixed))).to_pylist())
+        n_pieces = np.concatenate((np.ones(len(lower), np.int64), np.array([w.count(" ") + 1 for w in split], np.int64)))
+        ids, ends = self._encode_pieces(lower + split, n_pieces)
+        # the three kinds one after another, then in the order of the words
+        flat = np.concatenate([ids, *others])
+        first = np.concatenate(([0], ends, len(ids) + np.cumsum([len(x) for x in others], dtype=np.int64)))
+        order = np.concatenate([np.flatnonzero(kind) for kind in (letters, mixed, ~(letters | mixed))])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        flat, lengths = _gather(flat, first, place)
+        return flat, np.concatenate(([0], np.cumsum(lengths)))
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct words as they stand: marks at the end of an ASCII letter, a digit or a Latin letter are a piece of their own."""
+        cores = pc.ascii_rtrim(words, characters=_MARKS)
+        plain = pc.match_substring_regex(cores, _LATIN_OR_DIGIT_LAST)
+        cores = pc.if_else(plain, cores, words)
+        n_core = pc.binary_length(cores).to_numpy(zero_copy_only=False)
+        marked = np.flatnonzero(n_core < pc.binary_length(words).to_numpy(zero_copy_only=False))
+        tails = [w[n:] for w, n in zip(words.take(pa.array(marked)).cast(pa.binary()).to_pylist(), n_core[marked].tolist())]
+        tail = pa.array([t.decode() for t in tails], pa.string()).dictionary_encode()
+        core = cores.dictionary_encode()
+        flat, first = self._encode_cores(core.dictionary)
+        tail_ids, tail_ends = self._encode_pieces(tail.dictionary.to_pylist(), np.ones(len(tail.dictionary), np.int64))
+        # a word is the run of its core and the run of its marks (an empty one at the end where it has none)
+        runs = np.full((len(words), 2), len(first) - 1 + len(tail_ends), np.int64)
+        runs[:, 0] = core.indices.to_numpy()
+        runs[marked, 1] = len(first) - 1 + tail.indices.to_numpy()
+        flat = np.concatenate((flat, tail_ids))
+        first = np.concatenate((first, first[-1] + tail_ends, [len(flat)]))
+        flat, lengths = _gather(flat, first, runs.ravel())
+        return flat, np.concatenate(([0], np.cumsum(lengths.reshape(-1, 2).sum(axis=1))))
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and the number of ids of each text."""
-        words: list[bytes] = []
-        counts = []
-        for text in texts:
-            # strings that look like special tokens would not survive the lower-casing: those texts go as a whole
-            found = text.lower().split() if b"<|" not in text else [text]
-            words += found
-            counts.append(len(found))
-        if len(self.place) > self.most_words:
-            self._clear()
-        before = len(self.place)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        new = len(self.place) - before
-        if new:
-            self._learn(list(islice(reversed(self.place), new))[::-1])
-        lengths = self.first[at + 1] - self.first[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.first[at] - (ends - lengths), lengths) + np.arange(total)]
-        word_ends = np.concatenate(([0], ends))
-        text_ends = word_ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
-        return ids, np.diff(text_ends)
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
+        # strings that look like special tokens would not survive the lower-casing: those texts go as a whole
+        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        if len(special):
+            keep = np.ones(len(texts), bool)
+            keep[special] = False
+            whole = self._whole(texts.take(pa.array(special)).to_pylist())
+            texts = pc.if_else(pa.array(keep), texts, "")
+        split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+        words = split.flatten().dictionary_encode()  # an empty text is one empty word
+        ids, lengths = _gather(*self._encode_words(words.dictionary), words.indices.to_numpy())
+        word_ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+        counts = np.diff(word_ends[split.offsets.to_numpy()])
+        if len(special):
+            begins = np.cumsum(counts)[special]  # nothing of them is there yet
+            counts[special] = list(map(len, whole))
+            ids = np.insert(ids, np.repeat(begins, counts[special]), np.concatenate(whole))
+        return ids, counts
 
 
 def supported(tokenizer) -> bool:

@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -17,7 +19,7 @@ from quarry.llm.packing import CapacityTree, best_fit_decreasing, pack
 from quarry.llm.quality import quality, repeated_lines, repeated_words
 from quarry.llm.sharding import measured, shard_by_bytes
 from quarry.llm.simhash import GrayForest, fingerprint, fingerprints, gray_rank, near_duplicates
-from quarry.llm.tokens import WordEncoder, default_path
+from quarry.llm.tokens import WordEncoder, byte_batches, default_path
 
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept int, rid int, rep int, fp int, shard int, unit int, copies int, component_id int, task int, key int, `__range` int"
@@ -398,15 +400,31 @@ TRICKY = [
 
 
 def test_word_encoder(rows, library):
-    encoder = WordEncoder(default_path(), most_words=5000)  # starts anew now and then
+    encoder = WordEncoder(default_path())
     for at in range(0, len(rows), 32):
         texts = [t for _, t, _ in rows[at : at + 32]] + TRICKY
-        ids, counts = encoder.encode([t.encode() for t in texts])
+        ids, counts = encoder.encode(texts)
         ends = np.cumsum(counts)
         for text, part in zip(texts, np.split(ids, ends[:-1])):
             assert part.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_on_random_characters(library):
+    rng, encoder = random.Random(1), WordEncoder(default_path())
+    for _ in range(100):
+        texts = ["".join(rng.choices("aZ÷é'.,!<|>#1 \t\n’ΑΣσßǅ́한İıſK½5€-_×ÿŉ\x01", k=rng.randint(0, 40))) for _ in range(50)]
+        ids, counts = encoder.encode(texts)
+        for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+            assert part.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_byte_batches():
+    texts = ["a" * n for n in (3, 0, 5, 100, 1, 1, 9)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    parts = [b.column(0).to_pylist() for b in byte_batches(batch.slice(1), most=10)]
+    assert parts == [[1, 2], [3], [4, 5], [6, 7]]
+
+
 # Sharding ------------------------------------------------------------------------------------------------------------
 
 
