@@ -1,9 +1,8 @@
 """Corpus preparation, stage by stage: quality rules, exact dedup, near-dedup, mixing to target weights, packing.
 
-Each stage takes the documents that the one before it kept and decides about all of them.  ``doc_id`` is the documents'
-key; where it repeats all the same, rows that share one share the decisions (kept if any is kept, the largest number of
-copies), and exact dedup still leaves one of rows that agree in id and text.  All columns of the documents, additional
-ones too, go through to the last stage, which returns packed pieces instead.
+Each stage takes the documents that the one before it kept and decides about each of their rows: rows are told apart by their
+place in the stored files, so missing or repeated ids don't matter.  All columns of the documents, additional ones too, go
+through to the last stage, which returns packed pieces instead.
 """
 
 from __future__ import annotations
@@ -18,43 +17,39 @@ from quarry.llm.exact_dedup import exact_duplicates
 from quarry.llm.mixing import mix
 from quarry.llm.near_copies import near_copies
 from quarry.llm.packing import pack
-from quarry.llm.quality import quality
+from quarry.llm.quality import fit_references, passing
 
-KEY = "__pipeline_doc_id"
-#: Independent SimHashes that ``near_duplicates`` is compared with in tests; the stage compares the texts' shingles.
-DRAWS = 8
+ROW = "__pipeline_row"
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids`` (null equals null)."""
-    ids = ids.select(F.col("doc_id").alias(KEY)).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids[KEY]), "left_semi")
+def _kept(docs: DataFrame, operator: Callable[..., DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that an operator keeps."""
+    rows = common.numbered(docs, ROW)
+    return common.selected(rows, operator(rows, key=ROW).where("kept").select("key"), ROW).drop(ROW)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and diverge little from their language."""
-    return _keep(docs, quality(docs).where("kept"))
+    return passing(docs, fit_references(docs, common.table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    found = common.materialize(exact_duplicates(docs).where("kept").select("doc_id", "text_sha256"), "pipeline-exact")
-    kept = _keep(docs, found)
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    return _kept(docs, exact_duplicates)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies: 0.8 or more of their five-word shingles agree."""
-    return _keep(docs, near_copies(docs).where("doc_id <=> component_id"))
+    return _kept(docs, near_copies)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias(KEY)).agg(F.max("copies").alias("__pipeline_copies"))
-    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies[KEY])).drop(KEY)
-    # a row for each copy, at most three
-    return joined.withColumn("__pipeline_copies", F.explode(F.sequence(F.lit(1), F.col("__pipeline_copies").cast("int")))).drop("__pipeline_copies")
+    rows = common.numbered(docs, ROW)
+    copies = mix(rows, key=ROW).where("copies > 0")
+    # a mark for each copy, at most three
+    marks = copies.select("key", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("key")
+    return common.selected(rows, marks, ROW).drop(ROW)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

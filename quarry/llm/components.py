@@ -19,10 +19,12 @@ def _stars(edges: DataFrame, level: int) -> DataFrame:
     least = common.materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"large-{level}")
     large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     large = common.materialize(large, f"large-edges-{level}")
-    least = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"small-{level}")
-    moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    small = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-    return common.materialize(small, f"small-edges-{level}")
+    below = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"small-{level}")
+    moved = large.join(below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = moved.unionByName(below.select("u", F.col("m").alias("v"))).distinct()
+    small = common.materialize(small, f"small-edges-{level}")
+    common.drop(edges, least, large, below)
+    return small
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +61,6 @@ def radix_classes(keys: list[bytes]) -> list[list[int]]:
 
 
 def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    row = TaskContext.get().partitionId() << 40
     schema = pa.schema([
         ("doc_id", pa.int64()), ("rid", pa.int64()), ("rep", pa.int64()), ("rep_doc_id", pa.int64()), ("n_local", pa.int64()),
         ("n_points", pa.int64()), ("text_sha256", pa.string()), ("n_bytes", pa.int64()), ("head", pa.binary()), ("body", pa.binary()),
@@ -70,7 +68,7 @@ def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH_ROWS):
             batch = whole.slice(at, BATCH_ROWS)
-            ids = batch.column(0).to_pylist()
+            ids, rids = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             points = pc.utf8_length(batch.column(1)).to_pylist()
             keys = [t.translate(None, WHITE) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             n = len(keys)
@@ -83,8 +81,8 @@ def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             alone = [i == r for i, r in enumerate(rep)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()),
-                pa.array(range(row, row + n), pa.int64()),
-                pa.array([row + r for r in rep], pa.int64()),
+                pa.array(rids, pa.int64()),
+                pa.array([rids[r] for r in rep], pa.int64()),
                 pa.array([ids[r] for r in rep], pa.int64()),
                 pa.array(count, pa.int64()),
                 pa.array(points, pa.int64()),
@@ -93,12 +91,15 @@ def _local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 pa.array([k[:HEAD] for k in keys], pa.binary()),
                 pa.array([k[HEAD:] if a else None for k, a in zip(keys, alone)], pa.binary()),
             ], schema=schema)
-            row += n
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"))
+def exact_duplicates(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, key.
+
+    ``key`` names a column of longs, one for each row; without it, rows are numbered.
+    """
+    number = F.col(key) if key else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"), number.alias("rid"))
     local = common.materialize(common.map_arrow(rows, _local_classes, LOCAL_SCHEMA), "dedup-local")
     reps = local.where("rid = rep")
 
@@ -132,11 +133,12 @@ def exact_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce("all.size", "n_local").alias("group_size"),
         (F.col("rid") == F.coalesce("all.rid", "rep")).alias("kept"),
         "text_sha256",
+        F.col("rid").alias("key"),
     )
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(common.table(spark, sf_dir, "documents"))
+    return exact_duplicates(common.table(spark, sf_dir, "documents")).drop("key")
 
 
 OP10_SQL = r"""

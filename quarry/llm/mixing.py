@@ -9,8 +9,9 @@ stays near its own; the largest come first, so that what is left open to the end
 The units of a source are dealt into groups by a hash of their rows, each group is rounded in one ordered pass
 with one open unit, and the groups' residual units are rounded again, ``FAN_IN`` groups into one, up a
 reduction tree until each source has one unit, which a last draw decides.  Groups depend on the rows alone and draws on
-``(seed, source, level, group)``, so reruns agree wherever rows lie (rows that agree in doc_id, source and size are interchangeable).  A source that holds a third of all rows has as
-many more groups.
+``(seed, source, level, group)``, so reruns agree wherever rows lie (rows that agree in doc_id, source and size are interchangeable).
+A source that holds a third of all rows has as many more groups; a group that is far too large, because ids repeat or are
+missing, is dealt among all groups of its source by the rows' numbers.
 
 Defined cases: a null text has size 0; null is a source of its own, after the others; repeated rows are units of their
 own; an empty table gives no rows; only ``doc_id``, ``source`` and the text are read, so other columns can't clash.
@@ -49,11 +50,18 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     Targets share out all words by weight.  A target over ``most`` times its source's size stops there and its excess
     goes to the others by weight, until none is above.  Each round is one sum over the table of sources.
     """
-    by_source = common.materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    # A row for each source: the window without a key numbers the sources by code point, null last.
-    place = F.row_number().over(W.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))) - 1
+    spark = sizes.sparkSession
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # Sources are numbered by code point, null last: range by range, so that their number isn't bounded by a task.
+    order = F.col("source").asc_nulls_last()
+    by_source = by_source.repartitionByRange(common.parallelism(spark), order).withColumn("range", F.spark_partition_id())
+    by_source = common.materialize(by_source, "mix-sources")
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    bases = by_source.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    by_source = by_source.join(bases, "range")
+    place = F.col("base") + F.row_number().over(W.partitionBy("range").orderBy(order)) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    rows = common.materialize(by_source.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most)), "mix-weights")
+    rows = common.materialize(by_source.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most)).drop("range", "base"), "mix-weights")
     total = rows.agg(F.sum("source_size")).first()[0] or 0
     rate = float("inf")  # words for each unit of weight; over the cap means that the source is full
     known = None
@@ -157,7 +165,11 @@ def pivotal_rounding(units: DataFrame, seed: int = 0) -> DataFrame:
     spark = units.sparkSession
     counts = common.materialize(units.groupBy("source_key").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("groups")), "mix-groups")
     rows = units.join(counts, "source_key")
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size"), F.col("groups"))).drop("groups")
+    rows = common.materialize(rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "size"), F.col("groups"))), "mix-dealt")
+    # rows that share id and size, as those without id may: dealt by their own number instead
+    large = rows.groupBy("source_key", "grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * GROUP_ROWS).select("source_key", "grp", F.lit(True).alias("large"))
+    rows = rows.join(common.materialize(large, "mix-large"), ["source_key", "grp"], "left")
+    rows = rows.withColumn("grp", F.when(F.col("large"), F.pmod(F.xxhash64("unit"), F.col("groups"))).otherwise(F.col("grp"))).drop("groups", "large")
     most = counts.agg(F.max("groups")).first()[0] or 1
     level, settled = 0, []
     while True:
@@ -177,11 +189,15 @@ def pivotal_rounding(units: DataFrame, seed: int = 0) -> DataFrame:
     return found
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0, text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, copies and taken (copies times size)."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0, text: str = "text", key: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, size, source_size, target, copies, taken (copies times size) and key.
+
+    ``key`` names a column of longs, one for each row; without it, rows are numbered.
+    """
+    number = F.col(key) if key else F.monotonically_increasing_id()
     size = words_in(common.text_or_empty(text))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    rows = common.materialize(rows.withColumn("unit", F.monotonically_increasing_id()), "mix-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), number.alias("unit"))
+    rows = common.materialize(rows, "mix-rows")
     targets = source_targets(rows, weights, most)
     wanted = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     # the key tells null from any name
@@ -189,7 +205,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_
     targets = common.materialize(targets.withColumn("base", F.floor(F.col("wanted") + TINY)).withColumn("p", F.greatest(F.lit(0.0), F.col("wanted") - F.col("base"))), "mix-targets")
     rows = rows.select("unit", "doc_id", "size", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key")).join(targets, "source_key")
     extra = pivotal_rounding(rows.select("source_key", "unit", "doc_id", "size", "p"), seed)
-    return rows.join(extra, "unit").select("doc_id", "size", "source_size", "target", (F.col("base") + F.col("extra")).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return rows.join(extra, "unit").select("doc_id", "size", "source_size", "target", (F.col("base") + F.col("extra")).cast("long").alias("copies"), F.col("unit").alias("key")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Quality rules by distribution divergence.
 
 For each document one pass gives its counts and two histograms: of character classes, and of the common words of its language.
-A language's references are the mean histograms of all its documents that pass the base rules.  A document is
-rejected if it fails a base rule, or if the Jensen-Shannon distance (base 2, 0 to 1) of a histogram to its reference
-exceeds a limit.  A histogram is judged only where it rests on enough characters or words, and a language only where its
-reference rests on enough documents; what isn't judged is kept.
+A document is rejected if it fails a base rule, or if the Jensen-Shannon distance (base 2, 0 to 1) of a histogram to
+its language's reference exceeds a limit.  A histogram is judged only where it rests on enough characters or words.
 
-Defined cases: a null text has no words and fails the base rules; null is a language of its own, without common words; an
-empty table gives no rows; only ``doc_id``, ``lang`` and the text are read, so other columns can't clash.
+References are fitted once (``fit_references``): mean histograms of documents that are labelled good, about
+``REFERENCE_DOCS`` of each language where there are more, drawn by a hash of their id, from one half of the labels.  Given the
+references, a document's verdict depends on that document alone.  The limits were set on the same half; the other half is for tests.
+
+Defined cases: a null text has no words and fails the base rules; documents in a language without reference (null, others than
+those below, or none labelled) are judged by the base rules only; an empty table gives no rows; only ``doc_id``, ``lang`` and
+the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from . import common
 
 #: Base rules: a document needs so many words, and at most this share of them in repeated windows.
 MIN_WORDS, MOST_REPEATED = 50, 0.5
-#: Guards: a histogram of fewer characters or words isn't judged, nor a language of fewer reference documents.
-MIN_CHARS, MIN_COMMON_WORDS, MIN_REFERENCE_DOCS = 400, 100, 30
+#: Guards: a histogram of fewer characters or words isn't judged.
+MIN_CHARS, MIN_COMMON_WORDS = 400, 100
 #: Limits of the distances.
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.30, 0.28
+MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.21, 0.26
+#: Documents that a language's reference rests on, where more are labelled; shares are summed as whole numbers of this unit, in any order.
+REFERENCE_DOCS, UNIT = 1000, 1 << 40
 BATCH_ROWS = 1024
 
 #: Characters that count as symbols.
@@ -112,57 +117,122 @@ def features(text: bytes, lang: str | None) -> tuple[int, int, int, int, int, li
     )
 
 
-_SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
+# References ----------------------------------------------------------------------------------------------------------
+
+#: For each language: shares of the character classes, and of the common words and the rest.
+References = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts as shares; a row without any stays zero."""
+    return counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def base_failed(n_words, n_repeat_words):
+    return (n_words < MIN_WORDS) | (n_repeat_words > MOST_REPEATED * n_words)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None], list[np.ndarray]]]:
+    """Slices of batches with language and text last, their languages, and the columns of their features."""
     for whole in batches:
         for at in range(0, whole.num_rows, BATCH_ROWS):
             batch = whole.slice(at, BATCH_ROWS)
-            langs = batch.column(1).to_pylist()
-            found = [features(t, lang) for t, lang in zip(batch.column(2).cast(pa.binary()).to_pylist(), langs)]
-            columns = list(zip(*found)) or [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[5:])],
-                names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"],
-            )
+            n = batch.num_columns
+            langs = batch.column(n - 2).to_pylist()
+            found = [features(t, lang) for t, lang in zip(batch.column(n - 1).cast(pa.binary()).to_pylist(), langs)]
+            yield batch, langs, [np.array(c, np.int64) for c in zip(*found)]
+
+
+def _reference_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, _, (n_words, _, _, _, n_repeat_words, classes, common_words) in _batches(batches):
+        units = np.round(np.concatenate((shares(classes), shares(common_words)), axis=1) * UNIT).astype(np.int64)
+        good = pa.array(~base_failed(n_words, n_repeat_words))
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(units), pa.list_(pa.int64()))], names=["lang", "units"]).filter(good)
+
+
+def _columns(text: str) -> list:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), common.text_or_empty(text).alias("text")]
+
+
+def fitting_half():
+    """Whether references may rest on a labelled document."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+
 
+def fit_references(docs: DataFrame, labels: DataFrame, most: int = REFERENCE_DOCS, text: str = "text") -> References:
+    """References from ``docs`` and the labels (doc_id, quality); a document with contradicting labels isn't good."""
+    good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    good = good.where((F.col("quality") == 1) & fitting_half()).select("doc_id")
+    rows = docs.select(*_columns(text)).where(F.col("lang").isin(*COMMON_WORDS))
+    ids = common.materialize(rows.select("doc_id", "lang").distinct().join(good, "doc_id"), "quality-labelled")
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for lang in counts for x in (lang, most / counts[lang])]) if counts else F.lit(None)
+    ids = ids.where(F.pmod(F.xxhash64("lang", "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)) if counts else ids
+    # about ``most`` ids of each of the languages above
+    chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
+    units = common.map_arrow(chosen, _reference_rows, "lang string, units array<long>")
+    n = len(CLASSES) + N_COMMON + 1
+    sums = units.groupBy("lang").agg(F.array(*[F.sum(F.col("units")[i]) for i in range(n)]).alias("sums")).collect()
+    means = {r["lang"]: np.array(r["sums"], float) for r in sums}
+    return {lang: tuple(part / part.sum() for part in np.split(x, [len(CLASSES)])) for lang, x in means.items()}
 
-def _shares(counts):
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
-    return F.when(total > 0, F.transform(counts, lambda x: x / total))
 
+# Verdicts ------------------------------------------------------------------------------------------------------------
 
-def _js_distance(p, q):
-    """Jensen-Shannon distance of two arrays of shares."""
-    part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
-    terms = F.zip_with(p, q, lambda a, b: (part(a, b) + part(b, a)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row of shares to the same row of others."""
 
-def quality(docs: DataFrame, text: str = "text") -> DataFrame:
+    def part(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * np.log2(np.where(a > 0, 2 * a, 1) / np.where(a > 0, a + b, 1))).sum(axis=1)
+
+    return np.sqrt(np.maximum(0, (part(p, q) + part(q, p)) / 2))
+
+
+def judge(references: References, langs: list[str | None], columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed, both distances (not a number: not judged) and kept."""
+    n_words, n_chars, _, _, n_repeat_words, classes, common_words = columns
+    failed = base_failed(n_words, n_repeat_words)
+    distances = []
+    judged = np.array([lang in references for lang in langs], bool)
+    for k, (counts, enough) in enumerate(((classes, n_chars >= MIN_CHARS), (common_words, n_words >= MIN_COMMON_WORDS))):
+        own = np.full(len(langs), np.nan)
+        rows = np.flatnonzero(judged & enough)
+        if len(rows):
+            own[rows] = js_distance(shares(counts[rows]), np.stack([references[langs[i]][k] for i in rows]))
+        distances.append(own)
+    diverges = (np.nan_to_num(distances[0]) > MOST_CLASS_DISTANCE) | (np.nan_to_num(distances[1]) > MOST_WORD_DISTANCE)
+    return failed, *distances, ~failed & ~diverges
+
+
+_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
+
+
+def quality(docs: DataFrame, references: References, text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: the counts, base_failed, both distances (null: not judged) and kept."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), common.text_or_empty(text).alias("text"))
-    rows = common.materialize(common.map_arrow(rows, _feature_rows, _SCHEMA), "quality-features")
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("p_classes", _shares(F.col("classes"))).withColumn("p_common", _shares(F.col("common")))
-
-    mean = lambda name, n: F.array(*[F.avg(F.col(name)[i]) for i in range(n)])
-    references = rows.where("not base_failed").groupBy(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("key"))
-    references = references.agg(F.count(F.lit(1)).alias("n"), mean("p_classes", len(CLASSES)).alias("q_classes"), mean("p_common", N_COMMON + 1).alias("q_common"))
-    references = common.materialize(references.where(F.col("n") >= MIN_REFERENCE_DOCS).drop("n"), "quality-references")
-
-    judged = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).join(references, "key", "left")
-    n_chars = F.col("word_chars")
-    class_distance = F.when(n_chars >= MIN_CHARS, _js_distance(F.col("p_classes"), F.col("q_classes")))
-    word_distance = F.when((F.col("n_words") >= MIN_COMMON_WORDS) & F.col("lang").isin(*COMMON_WORDS), _js_distance(F.col("p_common"), F.col("q_common")))
-    judged = judged.withColumn("class_distance", class_distance).withColumn("word_distance", word_distance)
-    diverges = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~diverges).alias("kept"), "class_distance", "word_distance",
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, langs, columns in _batches(batches):
+            failed, by_class, by_word, kept = judge(references, langs, columns)
+            distances = [pa.array(d, pa.float64(), from_pandas=True) for d in (by_class, by_word)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns[:5]), pa.array(failed), pa.array(kept), *distances], names=[c.split()[0] for c in _SCHEMA.split(", ")])
+
+    return common.map_arrow(docs.select(*_columns(text)), run, _SCHEMA)
+
+
+def passing(docs: DataFrame, references: References, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, langs, columns in _batches(batches):
+            kept = judge(references, langs, columns)[-1]
+            yield batch.select(list(range(batch.num_columns - 2))).filter(pa.array(kept))
+
+    # the columns that are read come last, under names of their own
+    read = [F.col("lang").cast("string").alias("__quality_lang"), common.text_or_empty(text).alias("__quality_text")]
+    return common.map_arrow(docs.select("*", *read), run, docs.schema)
 
 
 def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(common.table(spark, sf_dir, "documents"))
+    docs = common.table(spark, sf_dir, "documents")
+    return quality(docs, fit_references(docs, common.table(spark, sf_dir, "labels")))

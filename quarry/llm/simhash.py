@@ -125,20 +125,34 @@ class GrayForest:
         for level in self.levels:
             self.root = level["parent"][self.root]
 
+    def label(self, labels: np.ndarray) -> None:
+        """Give each fingerprint (in Gray order) a label, so that searches can leave out groups of the query's own."""
+        low = high = self.labels = labels
+        for level in self.levels:
+            level["low"], level["high"] = low, high
+            low, high = np.minimum.reduceat(low, level["first"]), np.maximum.reduceat(high, level["first"])
+
+    def search(self, query: np.ndarray, most: int, other_labels: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(query, place) of all fingerprints in a query's bucket that differ in ``most`` bits at most; with
+        ``other_labels``, of those whose label isn't the query's."""
+        # a root's bits are shared by the query itself: no difference yet
+        node, far = self.root[query], np.zeros(len(query), np.uint8)
+        for level in reversed(self.levels):
+            count = level["count"][node]
+            query, far = np.repeat(query, count), np.repeat(far, count)
+            begin = np.repeat(level["first"][node] - np.concatenate(([0], np.cumsum(count)[:-1])), count)
+            node = begin + np.arange(len(begin))
+            far = far + np.bitwise_count((self.fps[query] ^ level["pattern"][node]) & level["own"][node])
+            near = far <= most
+            if other_labels:
+                near &= (level["low"][node] != self.labels[query]) | (level["high"][node] != self.labels[query])
+            query, node, far = query[near], node[near], far[near]
+        return query, node
+
     def pairs(self, most: int = MAX_BITS, rows: int = SEARCH_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places i < j (in Gray order) of fingerprints in one bucket that differ in ``most`` bits at most."""
         for at in range(0, len(self.fps), rows):
-            query = np.arange(at, min(at + rows, len(self.fps)))
-            # a root's bits are shared by the query itself: no difference yet
-            node, far = self.root[query], np.zeros(len(query), np.uint8)
-            for level in reversed(self.levels):
-                count = level["count"][node]
-                query, far = np.repeat(query, count), np.repeat(far, count)
-                begin = np.repeat(level["first"][node] - np.concatenate(([0], np.cumsum(count)[:-1])), count)
-                node = begin + np.arange(len(begin))
-                far = far + np.bitwise_count((self.fps[query] ^ level["pattern"][node]) & level["own"][node])
-                near = far <= most
-                query, node, far = query[near], node[near], far[near]
+            query, node = self.search(np.arange(at, min(at + rows, len(self.fps))), most)
             keep = query < node
             yield query[keep], node[keep]
 

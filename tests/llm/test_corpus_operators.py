@@ -16,7 +16,7 @@ from quarry.llm import common
 from quarry.llm.exact_dedup import exact_duplicates, radix_classes
 from quarry.llm.mixing import meet, mix, source_targets
 from quarry.llm.packing import CapacityTree, best_fit_decreasing, pack
-from quarry.llm.quality import quality, repeated_lines, repeated_words
+from quarry.llm.quality import CLASSES, COMMON_WORDS, features, fit_references, fitting_half, passing, quality, repeated_lines, repeated_words
 from quarry.llm.sharding import measured, shard_by_bytes
 from quarry.llm.simhash import GrayForest, fingerprint, fingerprints, gray_rank, near_duplicates
 from quarry.llm.tokens import WordEncoder, byte_batches, default_path
@@ -301,8 +301,32 @@ def test_targets_reshare(spark):
 # Quality -------------------------------------------------------------------------------------------------------------
 
 
-def test_quality(docs, rows):
-    found = {r.doc_id: r for r in quality(docs).collect()}
+@pytest.fixture(scope="module")
+def references(spark):
+    sf = "/root/testdata/sf0.01"
+    return fit_references(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
+
+
+def slow_js(p, q):
+    """Jensen-Shannon distance of two lists of shares, as entropies."""
+    h = lambda x: -sum(v * np.log2(v) for v in x if v > 0)
+    return max(0.0, h([(a + b) / 2 for a, b in zip(p, q)]) - (h(p) + h(q)) / 2) ** 0.5
+
+
+def slow_class(c):
+    if c in "#*$%&|<>":
+        return "symbol"
+    if c.isascii():
+        if c.isalpha():
+            return "upper" if c.isupper() else "vowel" if c in "aeiou" else "consonant"
+        kinds = {"0123456789": "digit", " \t\x0b\x0c\r": "white", "\n": "line", ".,;:!?": "stop", "'\"-_`": "quote", "()[]{}": "bracket"}
+        return next((k for own, k in kinds.items() if c in own), "other_ascii")
+    return "latin" if "\u00c0" <= c <= "\u027f" else "beyond"
+
+
+def test_quality(docs, rows, references):
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    found = {r.doc_id: r for r in quality(docs, references).collect()}
     for doc, text, _ in rows:
         w = words(text)
         windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -312,22 +336,54 @@ def test_quality(docs, rows):
         r = found[doc]
         assert (r.n_words, r.word_chars, r.n_symbols) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text))
         assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), repeated)
-        assert r.base_failed == (len(w) < 50 or 100 * repeated > 50 * len(w)) and not (r.base_failed and r.kept)
-
-
-def test_quality_tells_labels(spark):
+        assert r.base_failed == (len(w) < 50 or 100 * repeated > 50 * len(w))
+        # the distances and the verdict, by plain histograms
+        classes, reference = Counter(map(slow_class, text)), references[langs[doc]]
+        by_class = slow_js([classes[c] / len(text) for c in CLASSES], reference[0]) if r.word_chars >= 400 else None
+        own = [sum(x in (c, c.capitalize()) for x in w) for c in COMMON_WORDS[langs[doc]]]
+        by_word = slow_js([x / len(w) for x in [*own, len(w) - sum(own)]], reference[1]) if len(w) >= 100 else None
+        assert r.class_distance == (None if by_class is None else pytest.approx(by_class, abs=1e-6))
+        assert r.word_distance == (None if by_word is None else pytest.approx(by_word, abs=1e-6))
+        assert r.kept == (not r.base_failed and (by_class or 0) <= 0.21 and (by_word or 0) <= 0.26)
+
+
+def test_references(spark, references):
+    """Means over the labelled documents of one half, and the same however rows lie."""
     sf = "/root/testdata/sf0.01"
-    labels = {r.doc_id: r.quality for r in common.table(spark, sf, "labels").collect()}
-    kept = {r.doc_id: r.kept for r in quality(common.table(spark, sf, "documents")).collect() if not r.base_failed}
-    good = [kept[d] for d, q in labels.items() if q == 1 and d in kept]
-    bad = [kept[d] for d, q in labels.items() if q == 0 and d in kept]
-    assert np.mean(good) > 0.99 and np.mean(bad) < 0.3
-
-
-def test_quality_awkward(awkward):
-    found = quality(awkward).collect()
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    half = {r.doc_id for r in labels.where(fitting_half()).collect() if r.quality == 1}
+    own = [features(r.text.encode(), "fr") for r in docs.where("lang = 'fr'").collect() if r.doc_id in half]
+    own = [np.array(f[5]) / sum(f[5]) for f in own if f[0] >= 50 and 2 * f[4] <= f[0]]
+    assert len(own) > 5 and references["fr"][0] == pytest.approx(np.mean(own, axis=0))
+    again = fit_references(docs.repartition(5), labels.repartition(3))
+    assert all((a == b).all() for lang in references for a, b in zip(references[lang], again[lang]))
+    few = fit_references(docs, labels, most=10)
+    assert set(few) <= set(references) and (few["en"][0] != references["en"][0]).any()
+    assert fit_references(docs, labels.limit(0)) == {}
+
+
+def test_verdicts_depend_on_the_document_alone(docs, references):
+    whole = {r.doc_id: r.kept for r in quality(docs, references).collect()}
+    for part in (docs.where("doc_id % 10 = 3"), docs.where("lang = 'fr'").limit(5)):
+        assert all(whole[r.doc_id] == r.kept for r in quality(part, references).collect())
+
+
+def test_quality_tells_held_out_labels(spark):
+    """On sf0.1, of the half of the labels that neither references nor limits were set on."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    held_out = {r.doc_id: r.quality for r in labels.where(~fitting_half()).collect()}
+    kept = {r.doc_id: r.kept for r in quality(docs, fit_references(docs, labels)).collect() if not r.base_failed}
+    good = [kept[d] for d, q in held_out.items() if q == 1 and d in kept]
+    bad = [kept[d] for d, q in held_out.items() if q == 0 and d in kept]
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.12
+
+
+def test_quality_awkward(awkward, references):
+    found = quality(awkward, references).collect()
     assert len(found) == awkward.count()
     assert {r.n_words for r in found if r.doc_id in (1, 2, 6)} == {0} and repeated_words([b"a"] * 3) == 0 and repeated_lines(b"x\n\nx") == 1
+    assert sorted((str(r.doc_id), r.text) for r in passing(awkward, references).collect()) == [("3", awkward.where("doc_id = 3").first().text)] * any(r.kept for r in found)
 
 
 # Packing -------------------------------------------------------------------------------------------------------------
@@ -454,12 +510,23 @@ def test_shards_stay_in_the_jvm(docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_selected(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}", None) for i in range(500)], "id long, text string, x int").repartition(6)
+    keyed = common.numbered(common.materialize(rows, "test-rows"), "n")
+    every = {r.id: r.n for r in keyed.collect()}
+    wanted = Counter({i: 1 + i % 3 for i in range(0, 500, 7)})
+    marks = spark.createDataFrame([(every[i],) for i in wanted.elements()], "m long").repartition(3)
+    found = common.selected(keyed, marks, "n")
+    assert Counter(r.id for r in found.collect()) == wanted and found.columns == ["id", "text", "x", "n"]
+    assert common.selected(keyed, marks.limit(0), "n").count() == 0
+
+
 # Empty tables --------------------------------------------------------------------------------------------------------
 
 
 def test_empty_tables(spark, awkward):
     empty = awkward.limit(0)
-    for operator in (exact_duplicates, near_duplicates, mix, quality, pack):
+    for operator in (exact_duplicates, near_duplicates, mix, pack, lambda d: quality(d, {}), lambda d: passing(d, {})):
         assert operator(empty).count() == 0
     assert shard_by_bytes(measured(empty), 40, ["doc_id", "size", "text_crc32"]).count() == 0
 
