@@ -3,10 +3,13 @@
 The tagger is trained in numpy on labelled spans that ``training_set`` writes: kinds in the forms of the base patterns and
 in forms which those miss (national telephone numbers, written-out addresses, IPv6, cards with other separators), among
 dates, prices, versions and other numbers that are none.  Texts are cut into windows that overlap by half; windows are
-decoded and their spans reconciled over the whole text: a span cut by its window's edge gives way to the whole one in
-the next window, equal ones become one, and of those that overlap the set with the greatest total score stays.  What the
-tagger proposes must be well formed for its kind and touch no base span.  A well-formed span has four digits, a bracketed
-"at" or a double colon, so windows with none of these need no decoding.  Spans of up to half a window are found whole.
+decoded and their spans reconciled over the whole text: parts of a span that the edges of windows cut are joined, a part
+gives way to the whole span in the next window, equal ones become one, and of those that overlap the set with the greatest
+total score stays.  What the tagger proposes must be well formed for its kind and touch no base span.
+
+A well-formed span has four digits, an "at" sign (as such or in brackets) or two colons.  Windows with none of these therefore add
+nothing and aren't decoded, unless a span that is cut in a neighbouring window goes on in them; ``every`` decodes all the same, and a
+test holds that against this.
 
 Defined cases: a null text is empty and has no spans; repeated rows are searched each; an empty table gives no rows; only
 ``doc_id`` and the text are read, so other columns can't clash.
@@ -17,9 +20,10 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +61,12 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _is_byte(digits: str) -> bool:
+    """Whether a decimal number, of any length and with any leading zeros, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str, has_digits: bool = True) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by kind as listed, then start."""
     found = []
@@ -73,7 +83,7 @@ def base_spans(text: str, has_digits: bool = True) -> list[tuple[int, int, str]]
             floor = at + 1  # no later match begins before this sign
             at = text.find("@", at + 1)
     if has_digits:
-        found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(_is_byte(p) for p in m[0].split("."))]
         found += [(*m.span(), "card") for m in _CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             found += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -110,9 +120,15 @@ class _Writer:
         return "".join(self.pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(self.rng.integers(2, 8))))
 
     def email(self) -> str:
-        user, host, end = self.name() + self.pick(["", ".", "_", "1"]) + self.name(), self.name(), self.pick(["com", "org", "net", "de", "fr", "example"])
+        """An address as such or written out, now and then with many long parts."""
+        long = self.rng.random() < 0.25
+        name = (lambda: self.name() + self.name()) if long else self.name
+        user = name() + self.pick(["", ".", "_", "1"]) + name() + (self.pick([".", "_", "-"]) + name() if long else "")
+        hosts = [name() + (self.pick(["", "-"]) + name() if long else "") for _ in range(int(self.rng.integers(1, 4)) if long else 1)]
+        end = self.pick(["com", "org", "net", "de", "fr", "example"])
         at = self.pick(["@", " (at) ", " [at] ", "(at)", "[at]", " {at} "])
-        return user + at + host + (self.pick([" (dot) ", "[dot]", "."]) if at != "@" else ".") + end
+        dot = self.pick([" (dot) ", " [dot] ", "(dot)", "[dot]", "."]) if at != "@" or self.rng.random() < 0.2 else "."
+        return user + at + dot.join([*hosts, end])
 
     def ip(self) -> str:
         if self.rng.random() < 0.6:
@@ -191,10 +207,13 @@ def trained(windows: int = TRAINING_WINDOWS, steps: int = TRAINING_STEPS, seed:
 
 # Search ------------------------------------------------------------------------------------------------------------
 
-_ANCHOR = re.compile(r"[0-9]|[(\[{]\x20?at\x20?[)\]}]|::")
+_ANCHOR = re.compile(r"[0-9]|@|[(\[{]\x20?at\x20?[)\]}]|:")
 _AT = re.compile(r"[A-Za-z0-9._%+-]+\x20?(?:@|[(\[{]\x20?at\x20?[)\]}])\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[(\[{]\x20?dot\x20?[)\]}])\x20?[A-Za-z0-9-]+)+")
-_PHONE_FORM = re.compile(r"[+(]?[0-9][0-9\x20()./-]+[0-9]")
+#: With three separators in a row at most, so that a window over a good part of one has four digits.
+_PHONE_FORM = re.compile(r"[+(]?[0-9](?:[\x20()./-]{0,3}[0-9])+")
 _CARD_FORM = re.compile(r"[0-9]+(?:[\x20./-][0-9]+)*")
+#: A date alone is no telephone number, nor is anything with a date and its full year.
+_FULL_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}(?![0-9])")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)?[0-9]{2}")
 
 
@@ -206,8 +225,8 @@ def well_formed(span: str, kind: str) -> bool:
         return 13 <= len(digits) <= 19 and _CARD_FORM.fullmatch(span) is not None and luhn(digits)
     if kind == "phone":
         # with separators: a bare run of digits says too little
-        return 9 <= len(digits) <= 15 and _PHONE_FORM.fullmatch(span) is not None and not span.isdigit() and _DATE.search(span) is None
-    if len(digits) < 4 and "::" not in span:
+        return 9 <= len(digits) <= 15 and _PHONE_FORM.fullmatch(span) is not None and not span.isdigit() and _DATE.fullmatch(span) is None and _FULL_DATE.search(span) is None
+    if len(digits) < 4 and span.count(":") < 2:
         return False
     try:
         ipaddress.ip_address(span)
@@ -216,19 +235,45 @@ def well_formed(span: str, kind: str) -> bool:
     return True
 
 
+def _last_window(text: str) -> int:
+    return max(0, -(-(len(text) - WINDOW) // STRIDE))
+
+
 def windows_of(text: str) -> list[int]:
     """Numbers of the windows that may hold a well-formed span."""
-    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
+    last = _last_window(text)
     digits: dict[int, int] = {}
+    colons: dict[int, int] = {}
     chosen = set()
     for m in _ANCHOR.finditer(text):
         k = m.start() // STRIDE
         for w in (k - 1, k):
             if 0 <= w <= last:
-                digits[w] = digits.get(w, 0) + 1
-                if len(m[0]) > 1:
+                if m[0] == ":":
+                    colons[w] = colons.get(w, 0) + 1
+                elif m[0].isdigit():
+                    digits[w] = digits.get(w, 0) + 1
+                else:
                     chosen.add(w)
-    return sorted(chosen | {w for w, n in digits.items() if n >= 4})
+    return sorted(chosen | {w for w, n in digits.items() if n >= 4} | {w for w, n in colons.items() if n >= 2})
+
+
+def joined(parts: list[tuple[int, int, str, float, bool, bool]]) -> list[tuple[int, int, str, float]]:
+    """Spans from parts (start, end, kind, score, cut on the left, cut on the right) that overlap the next part of their kind."""
+    out = []
+    for kind in KINDS:
+        own = sorted((p for p in parts if p[2] == kind), key=lambda p: (p[0], p[1]))
+        held: tuple[int, int, float, bool] | None = None  # begins whole; is still cut on the right or not
+        for start, end, _, score, left, right in own:
+            if not left and not right:
+                out.append((start, end, kind, score))
+            if held and held[3] and start < held[1] <= end:
+                held = (held[0], end, held[2] + score, right)
+                if not right:
+                    out.append((held[0], end, kind, held[2]))
+            elif not left:
+                held = (start, end, score, right)
+    return out
 
 
 def reconcile(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str]]:
@@ -252,15 +297,14 @@ def reconcile(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def added_spans(model: BiLstmCrf, texts: list[str], base: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
-    """The tagger's spans for each text, without those that are malformed or touch a base span."""
-    places = [(i, w * STRIDE) for i, text in enumerate(texts) for w in windows_of(text)]
-    raw: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+def _parts(model: BiLstmCrf, texts: list[str], places: list[tuple[int, int]]) -> Iterator[tuple[int, int, tuple[int, int, str, float, bool, bool]]]:
+    """(text, window, part of a span) for windows (text, number)."""
     for at in range(0, len(places), DECODED_TOGETHER):
         part = places[at : at + DECODED_TOGETHER]
-        tags, margins = model.decode(np.array([char_ids(texts[i][s : s + WINDOW], WINDOW) for i, s in part]))
+        tags, margins = model.decode(np.array([char_ids(texts[i][w * STRIDE : w * STRIDE + WINDOW], WINDOW) for i, w in part]))
         for row in np.flatnonzero(tags.any(axis=1)):
-            i, start = part[row]
+            i, w = part[row]
+            start = w * STRIDE
             n = min(WINDOW, len(texts[i]) - start)
             own, margin = tags[row, :n], margins[row]
             p = 0
@@ -271,13 +315,30 @@ def added_spans(model: BiLstmCrf, texts: list[str], base: list[list[tuple[int, i
                 kind, q = (own[p] - 1) // 2, p + 1
                 while q < n and own[q] == 2 + 2 * kind:
                     q += 1
-                cut = (p == 0 and start > 0) or (q == n and start + n < len(texts[i]))
-                if not cut:
-                    raw[i].append((start + p, start + q, KINDS[kind], float(margin[p:q].sum())))
+                yield i, w, (start + p, start + q, KINDS[kind], float(margin[p:q].sum()), p == 0 and start > 0, q == n and start + n < len(texts[i]))
                 p = q
+
+
+def added_spans(model: BiLstmCrf, texts: list[str], base: list[list[tuple[int, int, str]]], every: bool = False) -> list[list[tuple[int, int, str]]]:
+    """The tagger's spans for each text, without those that are malformed or touch a base span."""
+    places = [(i, w) for i, text in enumerate(texts) for w in (range(_last_window(text) + 1) if every else windows_of(text))]
+    seen = set(places)
+    raw: list[list[tuple[int, int, str, float, bool, bool]]] = [[] for _ in texts]
+    while places:
+        following = []
+        for i, w, part in _parts(model, texts, places):
+            raw[i].append(part)
+            # the windows on which a cut span goes on
+            following += [(i, v) for v, cut in ((w - 1, part[4]), (w + 1, part[5])) if cut and 0 <= v <= _last_window(texts[i])]
+        places = sorted(set(following) - seen)
+        seen.update(places)
     out = []
-    for text, spans, candidates in zip(texts, base, raw):
-        good = [c for c in candidates if c[3] > 0 and well_formed(text[c[0] : c[1]], c[2]) and not any(s < c[1] and c[0] < e for s, e, _ in spans)]
+    for text, spans, parts in zip(texts, base, raw):
+        ends = [(s, e) for s, e, _ in sorted(spans)]
+        upto = list(accumulate((e for _, e in ends), max))  # base spans may overlap
+        starts = [s for s, _ in ends]
+        touches = lambda s, e: (k := bisect_left(starts, e)) > 0 and upto[k - 1] > s
+        good = [c for c in joined(parts) if c[3] > 0 and well_formed(text[c[0] : c[1]], c[2]) and not touches(c[0], c[1])]
         # a number that goes on outside of the span is not a whole one
         good = [c for c in good if not (c[0] and text[c[0] - 1].isalnum()) and not (c[1] < len(text) and text[c[1]].isalnum())]
         out.append(reconcile(good))
@@ -299,7 +360,7 @@ def _search(model: BiLstmCrf):
                 texts, where = [], []
                 for i, raw in enumerate(data):
                     digits = len(raw.translate(None, b"0123456789")) < len(raw)
-                    if digits or b"@" in raw or b"at" in raw and _ANCHOR.search(raw.decode()) or b"::" in raw:
+                    if digits or b"@" in raw or b":" in raw or b"at" in raw and _ANCHOR.search(raw.decode()):
                         text = raw.decode()
                         base[i] = base_spans(text, digits)
                         texts.append(text)

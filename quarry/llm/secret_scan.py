@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -114,9 +115,18 @@ def random_parts(run: str, at: int, vocabulary: str, separators: tuple[re.Patter
 
 def random_spans(text: str, covered: list[tuple[int, int, str]], vocabulary: str) -> list[tuple[int, int, str]]:
     found = []
+    # the base spans as runs that don't touch, in order
+    starts, ends = [], []
+    for s, e, _ in covered:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if any(s < end and start < e for s, e, _ in covered):
+        before = bisect_left(starts, end) - 1
+        if before >= 0 and ends[before] > start:
             continue
         found += random_parts(m[0], start, vocabulary)
     return found

@@ -2,8 +2,8 @@
 
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary, itself a Zstandard frame, as the
 ``.warc.zst`` convention has it; each record then is a frame of its own, with checksum, so a record can be read from its
-offset with nothing but the dictionary.  A task trains the dictionary of each archive on the archive's first records, up to
-``SAMPLE_BYTES``; with too few of them for that, the archive has no dictionary and no leading frame.
+offset with nothing but the dictionary.  A task holds an archive's records, trains its dictionary on slices from all over
+them (``SAMPLE_BYTES`` together) and compresses; where there is too little to train on, the dictionary is those slices themselves.
 
 Of records with equal payloads (of at least ``least_bytes``) the one with the largest page_id is a response and the others
 revisit it.  Groups are found by SHA-256, summed before the exchange, and only those of two and more are joined back.
@@ -35,6 +35,8 @@ from . import common
 DICTIONARY_MAGIC = 0x184D2A5D
 #: The dictionary's size, the bytes of records it is trained on, and the raw bytes after which an archive ends.
 DICTIONARY_BYTES, SAMPLE_BYTES, ARCHIVE_BYTES = 64 << 10, 4 << 20, 64 << 20
+#: The size of a slice to train on, and how many of them training takes at least.
+SLICE_BYTES, LEAST_SLICES = 8 << 10, 8
 LEVEL = 6
 BATCH_ROWS = 256
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -74,55 +76,51 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return head.encode() + block + b"\r\n\r\n"
 
 
-def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    if sum(map(len, records)) < 16 * 1024 or len(records) < 8:
-        return None
-    size = min(DICTIONARY_BYTES, sum(map(len, records)) // 8)
-    try:
-        return zstandard.train_dictionary(size, records, k=256, d=8)
-    except zstandard.ZstdError:
-        return None
+def slices(records: list[bytes], size: int = SLICE_BYTES, most: int = SAMPLE_BYTES) -> list[bytes]:
+    """Slices of the records, evenly over all their bytes."""
+    every = [(k, at) for k, data in enumerate(records) for at in range(0, len(data), size)]
+    step = max(1.0, len(every) * size / most)
+    chosen = [every[int(i * step)] for i in range(int(len(every) / step))]
+    return [records[k][at : at + size] for k, at in chosen]
+
+
+def train(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary for the records; of a few small ones, their beginnings as they are."""
+    parts = slices(records)
+    total = sum(map(len, parts))
+    if len(parts) >= LEAST_SLICES and total >= 16 * LEAST_SLICES:
+        try:
+            return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, total // 8)), parts, k=256, d=8)
+        except zstandard.ZstdError:  # too much alike, or too little, for a trained one
+            pass
+    return zstandard.ZstdCompressionDict(b"".join(parts)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class ArchiveWriter:
-    """Holds the first records back until the dictionary can be trained, then compresses as they come."""
+    """Holds an archive's records; at its end the dictionary is trained, and all are compressed."""
 
     def __init__(self, stream) -> None:
         self.stream, self.held, self.raw, self.at = stream, [], 0, 0
-        self.compressor: zstandard.ZstdCompressor | None = None
         self.offsets: list[int] = []
 
     def write(self, data: bytes) -> None:
         self.raw += len(data)
-        if self.compressor is None:
-            self.held.append(data)
-            if self.raw >= SAMPLE_BYTES:
-                self._begin()
-        else:
-            self._frame(data)
+        self.held.append(data)
 
     def _put(self, data: bytes) -> None:
         self.stream.write(data)
         self.at += len(data)
 
-    def _frame(self, data: bytes) -> None:
-        self.offsets.append(self.at)
-        self._put(self.compressor.compress(data))
-
-    def _begin(self) -> None:
+    def close(self) -> None:
         dictionary = train(self.held)
-        if dictionary is not None:
-            packed = zstandard.ZstdCompressor(level=19).compress(dictionary.as_bytes())
-            self._put(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
-            dictionary.precompute_compress(level=LEVEL)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True, write_content_size=True)
+        packed = zstandard.ZstdCompressor(level=19).compress(dictionary.as_bytes())
+        self._put(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
+        dictionary.precompute_compress(level=LEVEL)
+        compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True, write_content_size=True)
         for data in self.held:
-            self._frame(data)
+            self.offsets.append(self.at)
+            self._put(compressor.compress(data))
         self.held = []
-
-    def close(self) -> None:
-        if self.compressor is None:
-            self._begin()
         self.stream.close()
 
 
