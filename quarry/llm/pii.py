@@ -263,16 +263,19 @@ def joined(parts: list[tuple[int, int, str, float, bool, bool]]) -> list[tuple[i
     out = []
     for kind in KINDS:
         own = sorted((p for p in parts if p[2] == kind), key=lambda p: (p[0], p[1]))
-        held: tuple[int, int, float, bool] | None = None  # begins whole; is still cut on the right or not
+        held: tuple[int, int, float] | None = None  # begins whole and is cut on the right
         for start, end, _, score, left, right in own:
             if not left and not right:
                 out.append((start, end, kind, score))
-            if held and held[3] and start < held[1] <= end:
-                held = (held[0], end, held[2] + score, right)
+            if held and start < held[1] <= end and (left or right):
+                held = (held[0], end, held[2] + score)
                 if not right:
                     out.append((held[0], end, kind, held[2]))
-            elif not left:
-                held = (start, end, score, right)
+                    held = None
+            elif held and start < held[1] <= end:
+                out.append((held[0], end, kind, held[2] + score))
+            elif right and not left:
+                held = (start, end, score)
     return out
 
 
