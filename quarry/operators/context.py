@@ -13,14 +13,15 @@ BUDGET, RESERVE, PER_DOCUMENT = 4000, 100, 3
 
 
 def dedup_best(results: DataFrame, by: list[str], key: str, score: str) -> DataFrame:
-    """The best row for each key; rows without one are dropped."""
-    rank = F.row_number().over(W.partitionBy(*by, key).orderBy(F.desc(score)))
+    """The best row for each key, of equally good ones the first by its other columns as JSON; rows without a key are dropped."""
+    rank = F.row_number().over(W.partitionBy(*by, key).orderBy(F.desc(score), F.to_json(F.struct("*"))))
     return results.where(F.col(key).isNotNull()).withColumn("__r", rank).where("__r = 1").drop("__r")
 
 
 def cap_per_document(results: DataFrame, by: list[str], doc: str, key: str, score: str, most: int = PER_DOCUMENT) -> DataFrame:
     """The first ``most`` rows of each document by score; rows without a document are exempt."""
-    rank = F.row_number().over(W.partitionBy(*by, doc).orderBy(F.desc(score), key))
+    exempt = F.when(F.col(doc).isNull(), F.xxhash64(key))  # they are many, perhaps, and needn't meet
+    rank = F.row_number().over(W.partitionBy(*by, doc, exempt).orderBy(F.desc(score), key))
     return results.withColumn("__r", rank).where(F.col(doc).isNull() | (F.col("__r") <= most)).drop("__r")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -48,16 +49,14 @@ def keyword_search(chunks: DataFrame, key: str, query: list[str], limit: int = 1
     if not query:
         return chunks.select(key, F.lit(0.0).alias("score")).limit(0)
     top = bm25(chunks, key, query, text).orderBy(F.desc("bm25"), key).limit(limit)
-    best = top.agg(F.max("bm25").alias("best"))
-    score = F.when(F.col("best") > 0, F.col("bm25") / F.col("best")).otherwise(F.col("bm25"))
-    return top.crossJoin(F.broadcast(best)).select(key, score.alias("score"))  # one row
+    best = F.max("bm25").over(W.partitionBy())  # over ``limit`` rows
+    score = F.when(best > 0, F.col("bm25") / best).otherwise(F.col("bm25"))
+    return top.select(key, score.alias("score")).orderBy(F.desc("score"), key)
 
 
-def bm25_batch(chunks: DataFrame, key: str, queries: DataFrame, query_key: str, query_text: str, limit: int, n_terms: int, text: str = "text") -> DataFrame:
-    """The best ``limit`` chunks for each of many queries, any term of the query's first ``n_terms`` counting."""
-    from pyspark.sql import Window as W
-
-    wanted = queries.select(query_key, F.explode(F.array_distinct(F.slice(T.search_terms(query_text), 1, n_terms))).alias("term"))
+def bm25_batch(chunks: DataFrame, key: str, queries: DataFrame, query_key: str, query_text: str, limit: int, text: str = "text") -> DataFrame:
+    """The best ``limit`` chunks for each of many queries, any term of the query counting."""
+    wanted = queries.select(query_key, F.explode(F.array_distinct(T.search_terms(query_text))).alias("term"))
     index = postings(chunks, key, text).join(wanted.select("term").distinct(), "term", "left_semi")
     numbers = chunks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(T.search_terms(text))).alias("avgdl"))
     dfs = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

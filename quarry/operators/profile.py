@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Formats that count as dates.
@@ -38,14 +38,27 @@ def column_types(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def numeric_statistics(df: DataFrame, columns: list[str], places: int = 4) -> DataFrame:
     """Count, mean, median, sample deviation, extremes and quartiles (linear interpolation) of each column."""
-    rows = stacked(df, columns).select("column_name", F.col("value").try_cast("double").alias("value"))
+    rows = df.select(*[F.col(c).try_cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     r = lambda c: F.round(c, places)
-    return rows.groupBy("column_name").agg(
-        F.count("value").alias("n"), r(F.avg("value")).alias("mean"), r(F.percentile("value", F.lit(0.5))).alias("median"), r(F.stddev_samp("value")).alias("std"),
-        r(F.min("value")).alias("min"), r(F.max("value")).alias("max"), r(F.percentile("value", F.lit(0.25))).alias("q1"), r(F.percentile("value", F.lit(0.75))).alias("q3"),
-    )
+
+    def statistics(name: str, c: Column) -> Column:
+        quartiles = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # one state for all three
+        return F.struct(
+            F.lit(name).alias("column_name"), F.count(c).alias("n"), r(F.avg(c)).alias("mean"), r(quartiles[1]).alias("median"), r(F.stddev_samp(c)).alias("std"),
+            r(F.min(c)).alias("min"), r(F.max(c)).alias("max"), r(quartiles[0]).alias("q1"), r(quartiles[2]).alias("q3"),
+        )
+
+    every = rows.agg(F.array(*[statistics(name, F.col(f"c{i}")) for i, name in enumerate(columns)]).alias("every"))
+    return every.select(F.inline("every"))
 
 
 def row_text(columns: list[str]):
     """A row as text: values joined by bars, newlines as spaces, null as nothing."""
     return F.concat_ws(" | ", *[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\r\n]+", " ") for c in columns])
+
+
+def scan_share(pages: DataFrame, doc: str, text: str = "text", least: int = 50) -> DataFrame:
+    """(doc, n_pages, n_scanned, scan_percent): pages with fewer than ``least`` characters of text count as scanned."""
+    scanned = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) < least
+    counts = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(scanned).alias("n_scanned"))
+    return counts.withColumn("scan_percent", F.round(100.0 * F.col("n_scanned") / F.col("n_pages"), 2))

@@ -139,9 +139,9 @@ def sorted_groups(spark, sf):
     return sizes.select("lang", F.row_number().over(W.orderBy(F.desc("n"), "lang")).cast("long").alias("place"))  # a row for each language
 
 
-@query("t09_head_sample", "SELECT p_partkey, substring(p_name, 1, 8) AS p_name FROM part ORDER BY p_partkey LIMIT 100")
+@query("t09_head_sample", "SELECT p_partkey, substring(p_name, 1, 200) AS p_name FROM part ORDER BY p_partkey LIMIT 100")
 def head_sample(spark, sf):
-    return table(spark, sf, "part").orderBy("p_partkey").limit(100).select("p_partkey", F.substring("p_name", 1, 8).alias("p_name"))
+    return table(spark, sf, "part").orderBy("p_partkey").limit(100).select("p_partkey", F.substring("p_name", 1, 200).alias("p_name"))
 
 
 @query("u04_tag_union", "SELECT DISTINCT unnest([lang, source]) AS tag FROM documents")
@@ -155,9 +155,9 @@ def vocabulary(spark, sf):
     return _d(spark, sf).select("doc_id", F.array_join(F.array_sort(F.array_intersect(F.split("text", " "), known)), ",").alias("words"))
 
 
-@query("x21_prompt_blocks", "SELECT conv_id, string_agg('[' || (turn + 1) || '] [source: ' || role || ']' || chr(10) || substring(text, 1, 30), chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+@query("x21_prompt_blocks", "SELECT conv_id, string_agg('[' || (turn + 1) || '] [source: ' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
 def prompt_blocks(spark, sf):
-    block = T.prompt_block(F.col("turn") + 1, F.col("role"), F.lit(None).cast("string"), F.substring("text", 1, 30))
+    block = T.prompt_block(F.col("turn") + 1, F.col("role"), F.lit(None).cast("string"), F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("turn", block.alias("b"))))
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["b"]), "\n\n").alias("prompt"))
 

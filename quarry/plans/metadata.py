@@ -85,6 +85,15 @@ def numeric_profile(spark, sf):
     return profile.numeric_statistics(table(spark, sf, "lineitem"), _NUMERIC)
 
 
+@query(
+    "a23_scan_percent",
+    """SELECT source, count(*) AS n_pages, count(*) FILTER (length(trim(coalesce(text, ''))) < 50) AS n_scanned,
+       round(100.0 * count(*) FILTER (length(trim(coalesce(text, ''))) < 50) / count(*), 2)::DOUBLE AS scan_percent FROM documents GROUP BY source""",
+)
+def scan_percent(spark, sf):
+    return profile.scan_share(table(spark, sf, "documents"), "source")
+
+
 @query(
     "a14_null_distinct",
     "WITH s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c}::VARCHAR AS v FROM part" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size")) + ") SELECT column_name, count(v) AS non_null, count(*) - count(v) AS nulls, count(DISTINCT v) AS distinct_values FROM s GROUP BY column_name",

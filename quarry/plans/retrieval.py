@@ -69,7 +69,7 @@ def keyword_leg(spark, sf):
 @query(
     "r01_bm25_batch",
     rf"""WITH {_TOKENS}, wanted AS (
-  SELECT DISTINCT item_id, unnest([t for t in regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') if t <> ''][1:4]) AS term FROM benchmark
+  SELECT DISTINCT item_id, unnest([t for t in regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') if t <> '']) AS term FROM benchmark
 ), post AS (
   SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM tok
 ), tf AS (SELECT doc_id, dl, term, count(*) AS f FROM post WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
@@ -81,7 +81,7 @@ s AS (
 SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
 )
 def bm25_batch(spark, sf):
-    return keyword.bm25_batch(_documents(spark, sf), "doc_id", table(spark, sf, "benchmark"), "item_id", "text", 5, 4)
+    return keyword.bm25_batch(_documents(spark, sf), "doc_id", table(spark, sf, "benchmark"), "item_id", "text", 5)
 
 
 @query("r02_vector_topk", f"WITH {_NEAR} SELECT vec_id, round(distance, 6) AS distance FROM nn ORDER BY nn.distance, vec_id LIMIT 25")
@@ -196,13 +196,13 @@ def collection_stats(spark, sf):
 
 @query(
     "r15_chat_context",
-    f"{_LEGS} SELECT '[' || row_number() OVER (ORDER BY score DESC, doc_id) || '] [source: ' || source || ' p.' || (doc_id % 7) || ']' || chr(10) || substring(text, 1, 50) AS block, doc_id FROM best JOIN documents USING (doc_id)",
+    f"{_LEGS} SELECT '[' || row_number() OVER (ORDER BY score DESC, doc_id) || '] [source: ' || source || ' p.' || (doc_id % 7) || ']' || chr(10) || text AS block, doc_id FROM best JOIN documents USING (doc_id)",
 )
 def chat_context(spark, sf):
     found = fusion.hybrid_search(_documents(spark, sf), _vectors(spark, sf), "doc_id", TERMS, query_vector(spark, sf), 20, ["text", "source"]).drop("match")
     docs = _documents(spark, sf).select("doc_id", F.col("source").alias("path"), F.col("text").alias("body"))
     rows = docs.join(F.broadcast(found.select("doc_id", "score")), "doc_id").withColumn("n", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))  # twenty rows
-    return rows.select(T.prompt_block(F.col("n"), F.col("path"), F.col("doc_id") % 7, F.substring("body", 1, 50)).alias("block"), "doc_id")
+    return rows.select(T.prompt_block(F.col("n"), F.col("path"), F.col("doc_id") % 7, F.col("body")).alias("block"), "doc_id")
 
 
 @query("f03_date_range", "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-09 12:00:00' AND user_id = 7")
@@ -285,7 +285,7 @@ def max_norm(spark, sf):
 
 @query("q12_context_pack")
 def context_pack(spark, sf):
-    found = keyword.bm25_batch(_documents(spark, sf), "doc_id", table(spark, sf, "benchmark"), "item_id", "text", 30, 4)
+    found = keyword.bm25_batch(_documents(spark, sf), "doc_id", table(spark, sf, "benchmark"), "item_id", "text", 30)
     rows = found.join(_documents(spark, sf).select("doc_id", "text", "source"), "doc_id").withColumn("chunk_id", F.col("doc_id"))
     return context.assemble(rows, ["item_id"], "chunk_id", "source").select("item_id", "chunk_id", "source", "score", "tokens", "position", "total_tokens")
 
@@ -303,16 +303,16 @@ def sources_used(spark, sf):
 
 @query(
     "x20_chunk_header",
-    """SELECT doc_id, '[Source: ' || source || CASE WHEN doc_id % 3 = 0 THEN ' | Page ' || (doc_id % 10) ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' | Section: ' || lang ELSE '' END || ' | Relevance: ' || printf('%.2f', (doc_id % 100) / 97.0) || ']' || chr(10) || substring(text, 1, 20) AS block FROM documents""",
+    """SELECT doc_id, '[Source: ' || source || CASE WHEN doc_id % 3 = 0 THEN ' | Page ' || (doc_id % 10) ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' | Section: ' || lang ELSE '' END || ' | Relevance: ' || printf('%.2f', (doc_id % 100) / 97.0) || ']' || chr(10) || text AS block FROM documents""",
 )
 def chunk_headers(spark, sf):
     page, section = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 10), F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
-    return _documents(spark, sf).select("doc_id", T.chunk_header(F.col("source"), page, section, (F.col("doc_id") % 100) / 97.0, F.substring("text", 1, 20)).alias("block"))
+    return _documents(spark, sf).select("doc_id", T.chunk_header(F.col("source"), page, section, (F.col("doc_id") % 100) / 97.0, F.col("text")).alias("block"))
 
 
-@query("x22_context_block", "SELECT doc_id, '[Context ' || doc_id || '] (Source: ' || source || ', Relevance: ' || printf('%.2f', (doc_id % 100) / 97.0) || ')' || chr(10) || substring(text, 1, 20) AS block FROM documents")
+@query("x22_context_block", "SELECT doc_id, '[Context ' || doc_id || '] (Source: ' || source || ', Relevance: ' || printf('%.2f', (doc_id % 100) / 97.0) || ')' || chr(10) || text AS block FROM documents")
 def context_blocks(spark, sf):
-    return _documents(spark, sf).select("doc_id", T.context_block(F.col("doc_id"), F.col("source"), (F.col("doc_id") % 100) / 97.0, F.substring("text", 1, 20)).alias("block"))
+    return _documents(spark, sf).select("doc_id", T.context_block(F.col("doc_id"), F.col("source"), (F.col("doc_id") % 100) / 97.0, F.col("text")).alias("block"))
 
 
 @query("x39_match_ratio", "SELECT doc_id, least(1.0, (contains(lower(text), 'the')::INT + contains(lower(text), 'und')::INT + contains(lower(text), 'con')::INT) / 3.0)::DOUBLE AS ratio FROM documents")

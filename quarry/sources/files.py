@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 MOST_BYTES = 100 * 1024 * 1024
 
 #: The extensions that are read, and the names that are passed over.
-EXTENSIONS = (
-    ".txt .md .markdown .rst .org .pdf .docx .doc .odt .csv .tsv .json .jsonl .py .js .ts .jsx .tsx .java .c .cpp .h .hpp "
-    ".go .rs .rb .php .cs .swift .kt .scala .r .sql .sh .bash .zsh .html .htm .xml .yaml .yml .toml .ipynb .png .jpg .jpeg "
-    ".gif .bmp .tiff"
-).split()
+EXTENSIONS = [
+    ".txt", ".md", ".markdown", ".rst", ".org", ".pdf", ".docx", ".doc", ".odt", ".csv", ".tsv", ".json", ".jsonl",
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".c", ".cpp", ".h", ".hpp", ".go", ".rs", ".rb", ".php", ".cs",
+    ".swift", ".kt", ".scala", ".r", ".sql", ".sh", ".bash", ".zsh", ".html", ".htm", ".xml", ".yaml", ".yml",
+    ".toml", ".ipynb", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff",
+]
 IGNORED = [".*", "__pycache__", "node_modules", ".git", ".svn", ".hg", "venv", "env", ".venv", "build", "dist", "target", "*.pyc", "*.pyo", "*.so", "*.dylib", "*.dll"]
 
 #: Categories by extension; others are unknown.

@@ -43,18 +43,19 @@ def without_duplicates(events: DataFrame, keys: list[str], ts: str = "ts", late:
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def quota_gate(log: DataFrame, day: str, tokens: str, limit: int) -> DataFrame:
-    """(day, asked, granted, used): requests of a day are granted in order while they fit; the state is the day's sum."""
+def quota_gate(log: DataFrame, day: str, tokens: str, limit: int, order: str | None = None) -> DataFrame:
+    """(day, asked, granted, used): requests of a day are granted while they fit, those of one batch by ``order``; the state is the day's sum."""
     ship(log.sparkSession)
 
     def gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
         rows = []
-        for frame in batches:
-            for n in frame[tokens]:
-                granted = used + int(n) <= limit
-                used += int(n) if granted else 0
-                rows.append((key[0], int(n), granted, used))
+        batch = pd.concat(list(batches))
+        # rows of a group come in the order of the shuffle
+        for n in (batch.sort_values([order, tokens], kind="stable") if order else batch)[tokens]:
+            granted = used + int(n) <= limit
+            used += int(n) if granted else 0
+            rows.append((key[0], int(n), granted, used))
         state.update((used,))
         yield pd.DataFrame(rows, columns=["day", "asked", "granted", "used"])
 

@@ -252,6 +252,18 @@ def test_store(spark, tmp_path):
     s.compact("documents")
     s.reset("chunks")
     assert s.read("documents").count() == 3 and s.read("chunks").count() == 0
+    version, reader = s.version("documents"), s.read("documents")
+    s.append("documents", rows)
+    assert s.read("documents").count() == 5 and s.read("documents", version=version).count() == 3 and reader.count() == 3
+    assert set(s._folders("documents", version)) < set(s._folders("documents", version + 1))  # nothing was written again
+    for _ in range(4):
+        s.write("documents", rows)
+    assert len(s.versions("documents")) == s.kept and len([p for p in (tmp_path / "documents").iterdir() if p.name != "_versions"]) == s.kept
+    other = store.Store(spark, f"file://{tmp_path}")
+    other.version = lambda name: s.version(name) - 1  # a writer that began before the last one ended
+    with pytest.raises(OSError):
+        other.write("documents", rows.limit(0))
+    assert s.read("documents").count() == 2
     with pytest.raises(LookupError):
         s.read("none")
 
@@ -266,6 +278,18 @@ def test_reports(spark):
     assert store.log_line("INFO", "two words", n=1) == 'level=INFO message="two words" n=1'
 
 
+def test_report_file(spark, tmp_path):
+    path = store.write_report(spark, f"file://{tmp_path}", 2024, 7, "# é")
+    assert path.endswith("/weekly-2024-07.md") and (tmp_path / "weekly-2024-07.md").read_text() == "# é"
+
+
+def test_best_of_equal_scores(spark):
+    rows = [(1, 0.5, "b"), (1, 0.5, "a"), (1, 0.4, "c"), (None, 0.9, "z"), (2, 0.1, "q")]
+    for n in (1, 3):
+        found = context.dedup_best(spark.createDataFrame(rows, "k long, s double, t string").repartition(n), [], "k", "s").collect()
+        assert sorted((r.k, r.t) for r in found) == [(1, "a"), (2, "q")]
+
+
 def test_settings(monkeypatch):
     assert Settings().chunk_tokens == 800
     monkeypatch.setenv("QUARRY_CHUNK_TOKENS", "500")
