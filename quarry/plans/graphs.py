@@ -67,7 +67,18 @@ def communities(spark, sf):
     return graph.communities(_edges(spark, sf))
 
 
-@query("g04_label_propagation")
+_ROUNDS = ", ".join(
+    f"""l{i} AS (SELECT source AS node, label FROM (SELECT source, label, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, label) AS r
+    FROM ends JOIN l{i - 1} ON target = node GROUP BY source, label) WHERE r = 1)"""
+    for i in range(1, 6)
+)
+
+
+@query(
+    "g04_label_propagation",
+    _EDGES + f""", near AS (SELECT source, target FROM e WHERE weight >= 0.05), ends AS (SELECT source, target FROM near UNION SELECT target, source FROM near),
+    l0 AS (SELECT DISTINCT source AS node, source AS label FROM ends), {_ROUNDS} SELECT node, label AS community FROM l5""",
+)
 def label_propagation(spark, sf):
     return graph.label_propagation(_edges(spark, sf), 5)
 

@@ -66,9 +66,7 @@ def keyword_leg(spark, sf):
     return keyword.keyword_search(_documents(spark, sf), "doc_id", TERMS, 100).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(
-    "r01_bm25_batch",
-    rf"""WITH {_TOKENS}, wanted AS (
+_BATCH = rf"""{_TOKENS}, wanted AS (
   SELECT DISTINCT item_id, unnest([t for t in regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+') if t <> '']) AS term FROM benchmark
 ), post AS (
   SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM tok
@@ -77,9 +75,10 @@ df AS (SELECT term, count(*) AS d FROM tf GROUP BY term), st AS (SELECT count(*)
 s AS (
   SELECT item_id, doc_id, round(sum(CASE WHEN ln((n - d + 0.5) / (d + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d + 0.5) / (d + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM wanted JOIN tf USING (term) JOIN df USING (term), st GROUP BY item_id, doc_id
-)
-SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
-)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
+
+
+@query("r01_bm25_batch", f"WITH {_BATCH} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 5")
 def bm25_batch(spark, sf):
     return keyword.bm25_batch(_documents(spark, sf), "doc_id", table(spark, sf, "benchmark"), "item_id", "text", 5)
 
@@ -283,7 +282,23 @@ def max_norm(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / best, 6).alias("score"))
 
 
-@query("q12_context_pack")
+@query(
+    "q12_context_pack",
+    f"""WITH RECURSIVE {_BATCH}, res AS (
+  SELECT item_id, doc_id, source, score, floor(len([x for x in regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+') if x <> '']) * 1.3)::BIGINT AS tokens,
+         row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS nth
+  FROM ranked JOIN documents USING (doc_id) WHERE rank <= 30
+), ord AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM res WHERE nth <= 3),
+g AS (
+  SELECT DISTINCT item_id, 0::BIGINT AS k, 0::BIGINT AS total, 0::BIGINT AS n, false AS taken FROM ord
+  UNION ALL
+  SELECT ord.item_id, ord.k, CASE WHEN total + tokens + (ord.k > 1)::INT <= 3900 THEN total + tokens + (ord.k > 1)::INT ELSE total END,
+         n + (total + tokens + (ord.k > 1)::INT <= 3900)::INT, total + tokens + (ord.k > 1)::INT <= 3900
+  FROM g JOIN ord ON ord.item_id = g.item_id AND ord.k = g.k + 1
+)
+SELECT g.item_id, doc_id AS chunk_id, source, score, tokens, (g.n - 1)::INT AS position, (max(g.total) OVER (PARTITION BY g.item_id))::BIGINT AS total_tokens
+FROM g JOIN ord ON g.item_id = ord.item_id AND g.k = ord.k WHERE taken""",
+)
 def context_pack(spark, sf):
     found = keyword.bm25_batch(_documents(spark, sf), "doc_id", table(spark, sf, "benchmark"), "item_id", "text", 30)
     rows = found.join(_documents(spark, sf).select("doc_id", "text", "source"), "doc_id").withColumn("chunk_id", F.col("doc_id"))

@@ -17,7 +17,12 @@ def _documents(spark, sf):
     return table(spark, sf, "documents")
 
 
-@query("x03_sentences")
+@query(
+    "x03_sentences",
+    r"""WITH w AS (SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+') if x <> ''] AS ws FROM documents)
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN 0 ELSE 1 + len([i for i in range(1, len(ws)) if regexp_matches(ws[i], '[.?!]$') AND regexp_matches(ws[i + 1], '^[A-Z]')
+      AND NOT regexp_matches(ws[i], '[A-Za-z0-9_]\.[A-Za-z0-9_].$') AND NOT regexp_matches(ws[i], '[A-Z][a-z]\.$')]) END AS n FROM w""",
+)
 def sentences(spark, sf):
     return _documents(spark, sf).select("doc_id", F.size(T.sentences("text")).cast("long").alias("n"))
 
