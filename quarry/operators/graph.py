@@ -219,7 +219,7 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community) for graphs of any size: each node takes the most frequent label around it, the smallest at ties."""
     from pyspark.sql import Window as W
 
-    both = edges.select("source", "target").unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    both = edges.select("source", "target").unionAll(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct().cache()  # each round reads it
     labels = both.select(F.col("source").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         seen = both.join(labels, both["target"] == labels["node"]).groupBy("source", "label").count()

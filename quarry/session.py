@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,25 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name under the one that driver and executors share, ``spark.checkpoint.dir``; deleted when the driver's JVM ends.
+
+    Where the setting is missing, a temporary folder is set, but only in local mode: elsewhere no machine-local folder would do.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    folder = f"{found.rstrip('/')}/quarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return folder
+
+
 def build_session(app: str = "quarry", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the operators expect: UTC, adaptive execution, Arrow transfer."""
     builder = SparkSession.builder.appName(app)

@@ -13,6 +13,7 @@ from quarry.functions import embedding, stemming
 from quarry.functions import personal as P
 from quarry.functions import text as T
 from quarry.functions import vectors as V
+from quarry.operators.index import KeywordIndex
 from quarry.operators import chunking, context, fusion, graph, keyword, profile, reports, store, tables, vector_search
 
 
@@ -278,6 +279,21 @@ def test_reports(spark):
     assert store.log_line("INFO", "two words", n=1) == 'level=INFO message="two words" n=1'
 
 
+def test_keyword_index(spark, tmp_path):
+    """Added, changed by remove and ensure, and asked: always as a search over the texts."""
+    rows = [(i, f"alpha {'beta ' * (i % 4)} gamma{i % 3} delta") for i in range(60)]
+    docs = spark.createDataFrame(rows, "k long, text string")
+    index = KeywordIndex(store.Store(spark, f"file://{tmp_path}"), "docs", "k")
+    for current in (docs.where("k < 20"), docs, docs.where("k > 10")):
+        index.ensure(current)
+        for asked in (["beta"], ["alpha", "beta", "gamma1"], ["beta", "beta"], ["none"]):
+            want = {r.k: round(r.bm25, 9) for r in keyword.bm25(current, "k", asked).collect()}
+            assert {r.k: round(r.bm25, 9) for r in index.bm25(asked).collect()} == want
+    version = index.store.version(index.postings)
+    index.ensure(docs.where("k > 10"))
+    assert index.store.version(index.postings) == version
+
+
 def test_report_file(spark, tmp_path):
     path = store.write_report(spark, f"file://{tmp_path}", 2024, 7, "# é")
     assert path.endswith("/weekly-2024-07.md") and (tmp_path / "weekly-2024-07.md").read_text() == "# é"
