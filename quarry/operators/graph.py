@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,6 +72,28 @@ def similar_pairs(vectors: DataFrame, key: str, threshold: float, embedding: str
     return pairs.where("a <> b").select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), "weight")
 
 
+class GraphCache:
+    """Built graphs by their parameters, each for ``seconds``; the caller gives the time, so that tests can."""
+
+    def __init__(self, seconds: float) -> None:
+        self.seconds = seconds
+        self._held: dict = {}
+
+    def get(self, parameters, now: float, build: Callable[[], DataFrame]) -> DataFrame:
+        made, graph = self._held.get(parameters, (None, None))
+        if made is None or now - made >= self.seconds:
+            if graph is not None:
+                graph.unpersist()
+            graph = build().persist()
+            self._held[parameters] = (now, graph)
+        return graph
+
+    def clear(self) -> None:
+        for _, graph in self._held.values():
+            graph.unpersist()
+        self._held.clear()
+
+
 def tag_edges(doc_tags: DataFrame, doc: str, tags: str) -> DataFrame:
     """Edges of weight 1 between documents and their tags, each once."""
     rows = doc_tags.select(F.concat(F.lit("doc_"), F.col(doc).cast("string")).alias("source"), F.explode(tags).alias("tag"))

@@ -294,6 +294,21 @@ def test_keyword_index(spark, tmp_path):
     assert index.store.version(index.postings) == version
 
 
+def test_graph_cache(spark):
+    built, cache = [], graph.GraphCache(Settings().graph_cache_seconds)
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([(1, 2, 0.5)], "source long, target long, weight double")
+
+    for now, threshold in ((0, 0.5), (3599, 0.5), (10, 0.6), (3600, 0.5), (3700, 0.5)):
+        assert cache.get(("docs", threshold), now, build).count() == 1
+    assert len(built) == 3
+    cache.clear()
+    cache.get(("docs", 0.5), 3701, build)
+    assert len(built) == 4
+
+
 def test_report_file(spark, tmp_path):
     path = store.write_report(spark, f"file://{tmp_path}", 2024, 7, "# é")
     assert path.endswith("/weekly-2024-07.md") and (tmp_path / "weekly-2024-07.md").read_text() == "# é"

@@ -6,7 +6,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from quarry.operators.store import Store
 from quarry.sources import files, parsers
+from quarry.sources.watch import Watch
 
 
 def test_listing_and_guards(spark, tmp_path):
@@ -20,6 +22,20 @@ def test_listing_and_guards(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1]: r.title for r in blocks.collect()}["c.md"] == "T"
 
 
+def test_watch(spark, tmp_path):
+    root = tmp_path / "files"
+    root.mkdir()
+    watch = Watch(Store(spark, f"file://{tmp_path}/store"), [f"file://{root}"])
+    poll = lambda: sorted((r.path.rsplit("/", 1)[1], r.event_type) for r in watch.poll(spark).collect())
+    for name in "abc":
+        (root / name).write_text(name)
+    assert poll() == [("a", "created"), ("b", "created"), ("c", "created")] and poll() == []
+    (root / "a").write_text("longer")
+    (root / "b").unlink()
+    (root / "d").write_text("d")
+    assert poll() == [("a", "modified"), ("b", "deleted"), ("d", "created")] and poll() == []
+
+
 def test_ignore_rules(spark):
     paths = ["/a/.x", "/a/x.pyc", "/environment/x.txt", "/a/x.txt"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
