@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common, rans
-from .tokens import byte_batches, default_path, encoder
+from . import common, rans, tokens
 
 MAGIC = b"QTOKANS1"
 FILE_IDS = 1 << 21
+#: Bytes of text that are encoded together: twice the encoder's own number, as a file's ids are held anyway.
+BATCH_BYTES = 2 * tokens.BATCH_BYTES
 
 
 def _filesystem(uri: str):
@@ -129,8 +130,8 @@ def _writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
             return row
 
         for whole in batches:
-            for batch in byte_batches(whole):
-                ids, n = encoder(tokenizer).encode(batch.column(1))
+            for batch in tokens.byte_batches(whole, most=BATCH_BYTES):
+                ids, n = tokens.encoder(tokenizer).encode(batch.column(1))
                 ended = np.insert(ids, np.cumsum(n), end_id)
                 docs += batch.column(0).to_pylist()
                 counts.append(n + 1)
@@ -151,7 +152,7 @@ def write_token_files(docs: DataFrame, folder: str, end_id: int = 1, tokenizer:
     fs.create_dir(base, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(text).alias("text"))
     ordered = rows.repartitionByRange(common.parallelism(spark), "doc_id").sortWithinPartitions("doc_id")
-    return common.materialize(common.map_arrow(ordered, _writer(folder, tokenizer or default_path(), end_id, file_ids), _MANIFEST), "token-manifest")
+    return common.materialize(common.map_arrow(ordered, _writer(folder, tokenizer or tokens.default_path(), end_id, file_ids), _MANIFEST), "token-manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
