@@ -34,6 +34,28 @@ def test_query(spark, sf, oracle, name):
     assert rows == sorted(tuple(str(r[i]) for i in order) for r in found.fetchall())
 
 
+def _titles(spark, folder, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return [(r.title, r.bytes) for r in QUERIES["s10_text_blocks"](spark, str(folder)).orderBy("doc_id").collect()]
+
+
+def test_titles_of_odd_texts(spark, tmp_path):
+    texts = [None, "", " \n", "ab \x85", "ab \u2028", "ab \u2029", "ab \r\n\x85", "ab \x85\nline", " \t\r\n\f a \t\n b", "a" * 99, "\U0001f600" * 100, "ab\xa0"]
+    con = duckdb.connect()
+    got = _titles(spark, tmp_path, texts)
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == con.sql(f"SELECT title, bytes FROM ({ORACLE_SQL['s10_text_blocks']}) ORDER BY doc_id").fetchall()
+
+
+def test_titles_keep_their_letters(spark, tmp_path):
+    assert _titles(spark, tmp_path, ["vieau lev\nb", "\x0bab\x0b"]) == [("vieau lev", 11), ("ab", 4)]
+
+
+def test_titles_of_long_blanks(spark, tmp_path):
+    """A pattern would need quadratic time: minutes for this text."""
+    assert _titles(spark, tmp_path, ["a" + " " * 200_000 + "b", " " * 200_000 + "a\nb"]) == [(None, 200_002), ("a", 200_003)]
+
+
 def test_contract(spark):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
